@@ -81,18 +81,16 @@ def interval_labels(edges: list[float]) -> list[str]:
 
 
 def threshold_category(
-    value: Column, strong: float, promising: float, weak: float, p_value: Column | None = None, alpha: float = 0.05
+    value: Column, strong: float, promising: float, weak: float, p_value: Column | None = None, p_limit: float = 0.1
 ) -> Column:
-    """Signal category by descending thresholds; a weak p-value lowers ``strong`` one step."""
-    top = F.lit("strong_signal")
-    if p_value is not None:
-        top = F.when(p_value > alpha, "promising_signal").otherwise("strong_signal")
+    """Signal category by descending thresholds; a large p-value lowers the two best ones to weak."""
+    doubtful = F.coalesce(p_value > p_limit, F.lit(False)) if p_value is not None else F.lit(False)
     return (
-        F.when(value.isNull(), "blocked")
-        .when(value >= strong, top)
-        .when(value >= promising, "promising_signal")
+        F.when(value.isNull(), "blocked_by_data_quality")
+        .when((value >= strong) & ~doubtful, "strong_signal")
+        .when((value >= promising) & ~doubtful, "promising_signal")
         .when(value >= weak, "weak_signal")
-        .otherwise("no_signal")
+        .otherwise("not_supported")
     )
 
 
