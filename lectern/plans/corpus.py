@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lectern.sources.readers import spread_small_scan
+
 #: A sentence runs up to and including its closing marks.
 SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+"
 TOKEN = r"[^ \t\r\n\f]+"
@@ -21,6 +23,7 @@ def words_from_texts(
     ``p``, ``s`` and ``w`` are 1-based ordinals of line, sentence and token. The
     neighbours in the sentence come from the token array already at hand.
     """
+    texts = spread_small_scan(texts.select(text_id, text, *keep), text_id)
     lines = texts.select(
         F.col(text_id).cast("string").alias("text_id"), *keep, F.posexplode(F.split(text, "\n")).alias("p", "line")
     )
