@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lectern.queries import boundaries, texts  # noqa: F401
+from lectern.queries import boundaries, panel, texts  # noqa: F401
 from lectern.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -59,3 +59,84 @@ boundary AS (SELECT *, CASE orth_boundary_type WHEN 'C#C' THEN 0 WHEN 'C#V' THEN
 
 def with_boundary(body: str) -> str:
     return f"WITH {BOUNDARY} {body}"
+
+
+PEOPLE = """
+people AS (
+  SELECT 'P' || CASE WHEN s_suppkey < 10 THEN '0' ELSE '' END || s_suppkey AS participant_id,
+    (CASE WHEN s_acctbal >= 6000 THEN 1 WHEN s_acctbal <= 4000 THEN 0 END)::INTEGER AS label,
+    (CASE WHEN s_suppkey % 7 <> 0 THEN 18 + s_suppkey % 50 END)::INTEGER AS age,
+    CASE WHEN s_suppkey % 11 <> 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE 'M' END END AS sex,
+    CASE WHEN s_suppkey % 13 <> 0 THEN 0.5::DOUBLE + (s_suppkey % 50) / 100::DOUBLE END AS comprehension_score,
+    CASE WHEN s_suppkey % 9 = 0 THEN 'self report' WHEN s_suppkey % 5 = 0 THEN 'weak screening' ELSE 'formal' END AS label_provenance,
+    r_name AS recording_batch
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)
+"""
+
+PANEL = (
+    PEOPLE
+    + """,
+lex AS (
+  SELECT 'w' || p_partkey AS word_id, p_partkey // 10 AS sentence_id, p_partkey // 50 AS paragraph_id, p_name AS word_form,
+    p_size AS word_length_chars, ln(1 + (p_partkey % 97)::DOUBLE) AS log_corpus_frequency,
+    CASE WHEN p_partkey % 29 <> 0 THEN (p_partkey % 17) / 2::DOUBLE END AS lm_word_surprisal,
+    CASE WHEN p_partkey % 29 <> 0 THEN 1 + (p_partkey % 11) / 4::DOUBLE END AS lm_word_entropy,
+    (5 + p_partkey % 23)::INTEGER AS sentence_length_words, (p_partkey % 10) / 9::DOUBLE AS word_position_in_sentence_norm,
+    CASE WHEN p_partkey % 13 <> 0 THEN ['C#C', 'C#V', 'V#C', 'V#V'][p_partkey % 4 + 1] ELSE 'unknown' END AS prev_boundary_type_orth,
+    (CASE WHEN p_partkey % 13 <> 0 THEN p_partkey % 4 END)::INTEGER AS prev_boundary_opacity_score,
+    CASE WHEN (p_partkey // 50) % 3 <> 0 THEN (p_partkey % 7) / 10::DOUBLE END AS paragraph_cohesion,
+    CASE WHEN (p_partkey // 50) % 3 <> 0 THEN 1 - (p_partkey % 7) / 10::DOUBLE END AS local_semantic_drift,
+    CASE WHEN p_partkey % 29 <> 0 THEN 'ok' ELSE 'error' END AS lm_alignment_status,
+    CASE WHEN p_partkey % 31 = 0 THEN 'non_special_token_unassigned' END AS lm_alignment_warning,
+    CASE WHEN p_partkey % 37 <> 0 THEN 'NOUN' END AS upos FROM part),
+obs0 AS (
+  SELECT 'P' || CASE WHEN l_suppkey < 10 THEN '0' ELSE '' END || l_suppkey AS participant_id, 'w' || l_partkey AS word_id,
+    substr(o_orderpriority, 1, 1) AS text_id, l_orderkey, l_linenumber, l_returnflag, l_discount,
+    l_returnflag = 'N' AND floor(l_quantity)::BIGINT % 7 = 0 AS unseen,
+    120::DOUBLE + floor(l_extendedprice)::BIGINT % 150 AS ffd, 2.5::DOUBLE * p_size AS extra,
+    4::DOUBLE * ((l_partkey % 17) / 2::DOUBLE) * (1 + 0.5::DOUBLE * CASE WHEN s_acctbal >= 6000 THEN 1 ELSE 0 END) AS burden, l_quantity,
+    CASE WHEN NOT (l_linestatus = 'F' AND floor(l_quantity)::BIGINT % 5 = 0) THEN (floor(l_quantity)::BIGINT % 4)::DOUBLE END AS fixation_count
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+obs AS (
+  SELECT participant_id, word_id, text_id, l_orderkey, l_linenumber,
+    CASE WHEN NOT unseen THEN ffd END AS FFD, CASE WHEN NOT unseen THEN ffd + extra END AS GD,
+    CASE WHEN NOT unseen THEN ffd + extra + burden + l_quantity END AS TRT,
+    CASE WHEN l_returnflag <> 'R' THEN ffd + extra + burden + l_quantity + l_discount * 1000 END AS go_past_time, fixation_count,
+    (coalesce(fixation_count, 0) = 0)::INTEGER AS skip, greatest(coalesce(fixation_count, 0) - 1, 0) AS refixation_count FROM obs0),
+panel AS (
+  SELECT participant_id, word_id, arg_min(text_id, l_orderkey * 10 + l_linenumber) AS text_id, avg(FFD) AS FFD, avg(GD) AS GD, avg(TRT) AS TRT,
+    avg(go_past_time) AS go_past_time, avg(fixation_count) AS fixation_count, round_even(avg(skip), 0)::INTEGER AS skip,
+    avg(refixation_count) AS refixation_count, count(*) AS source_observation_count FROM obs GROUP BY 1, 2),
+word_level AS (
+  SELECT panel.*, lex.* EXCLUDE (word_id), people.* EXCLUDE (participant_id), label::DOUBLE AS label_num,
+    (prev_boundary_type_orth = 'V#V')::INTEGER AS vv_indicator, 1 - least(greatest(skip, 0), 1)::DOUBLE AS fixated,
+    CASE WHEN FFD > 0 THEN ln(1 + FFD) END AS log_ffd, CASE WHEN GD > 0 THEN ln(1 + GD) END AS log_first_pass_duration,
+    CASE WHEN go_past_time > 0 THEN ln(1 + go_past_time) END AS log_go_past_time,
+    CASE WHEN TRT > 0 THEN ln(1 + TRT) END AS log_total_fixation_duration, ln(1 + fixation_count) AS log_fixation_count
+  FROM panel LEFT JOIN lex USING (word_id) LEFT JOIN people USING (participant_id))
+"""
+)
+
+
+def with_panel(body: str) -> str:
+    return f"WITH {PANEL} {body}"
+
+
+def with_people(body: str) -> str:
+    return f"WITH {PEOPLE} {body}"
+
+
+def sql_slope(y: str, x: str, minimum: int = 3) -> str:
+    return (
+        f"CASE WHEN count(*) FILTER (WHERE {y} IS NOT NULL AND {x} IS NOT NULL) >= {minimum} "
+        f"AND min({x}) FILTER (WHERE {y} IS NOT NULL AND {x} IS NOT NULL) < max({x}) FILTER (WHERE {y} IS NOT NULL AND {x} IS NOT NULL) "
+        f"THEN regr_slope({y}, {x}) END"
+    )
+
+
+def sql_corr(x: str, y: str, minimum: int = 3) -> str:
+    both = f"FILTER (WHERE {y} IS NOT NULL AND {x} IS NOT NULL)"
+    return (
+        f"CASE WHEN count(*) {both} >= {minimum} AND min({x}) {both} < max({x}) {both} AND min({y}) {both} < max({y}) {both} "
+        f"THEN corr({x}, {y}) END"
+    )
