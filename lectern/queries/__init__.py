@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lectern.queries import boundaries, checks, panel, readers, texts  # noqa: F401
+from lectern.queries import boundaries, checks, evaluation, panel, readers, texts  # noqa: F401
 from lectern.queries.registry import ORACLES, QUERIES  # noqa: F401
