@@ -14,9 +14,15 @@ def _named(check: str, df: DataFrame) -> DataFrame:
 
 
 def schema_gaps(spark: SparkSession, tables: Mapping[str, DataFrame], required: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Required columns a table lacks, read from schemas alone."""
+    """Required columns a table lacks, with the table's rows (null when the table itself is missing)."""
+    from lectern.operators.reports import table_summary
+
     rows = [(t, c) for t, columns in required.items() for c in columns if t not in tables or c not in tables[t].columns]
-    return spark.createDataFrame(rows, "table_name string, missing_column string")
+    gaps = spark.createDataFrame(rows, "table_name string, missing_column string")
+    known = {t: tables[t] for t, _ in rows if t in tables}
+    if not known:
+        return gaps.withColumn("rows", F.lit(None).cast("long"))
+    return gaps.join(table_summary(known), "table_name", "left")
 
 
 def unique_key(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.operators.resampling import bootstrap_weights
 from lectern.operators.scalars import with_totals, zscored
 from lectern.operators.sequence import exact_quantiles, unpivot_values
+from lectern.session import cut_lineage
 
 MAX_TERMS = 200
 
@@ -320,7 +321,7 @@ def association_model(
     terms = list(added)
     ready = base.withColumns(added)
     names = moment_names(len(terms))
-    per_unit = moments(ready, [unit], terms, outcome)
+    per_unit = cut_lineage(moments(ready, [unit], terms, outcome))
     whole = solve_ridge(per_unit.agg(*[F.sum(n).alias(n) for n in names]), [], len(terms), alpha, scaled=False)
     drawn = bootstrap_weights(per_unit, unit, draws, seed, names)
     redrawn = drawn.groupBy("iteration").agg(*[F.sum(F.col("weight") * F.col(n)).alias(n) for n in names])

@@ -120,9 +120,12 @@ def stable_sort(t: Tables):
 # --- contracts ------------------------------------------------------------------
 
 
-@query("v01_schema_gaps")
+@query(
+    "v01_schema_gaps",
+    "SELECT 'documents' AS table_name, 'word_count' AS missing_column, count(*) AS rows FROM documents UNION ALL SELECT 'words', 'word_id', NULL",
+)
 def schema_gaps(t: Tables):
-    """Required columns that tables lack; read from schemas."""
+    """Required columns that tables lack, beside the size of the table."""
     tables = {n: getattr(t, n) for n in TABLES}
     required = {"documents": ["doc_id", "text", "word_count"], "labels": ["doc_id", "quality"], "words": ["word_id"]}
     return contracts.schema_gaps(t.spark, tables, required)
@@ -207,14 +210,17 @@ def score_contract(t: Tables):
     return contracts.lm_feature_contract(scores)
 
 
-@query("v10_feature_set_leaks")
+@query(
+    "v10_feature_set_leaks",
+    with_panel("SELECT 'everything' AS feature_set, unnest(['label', 'participant_id']) AS forbidden_column, unnest([count(label), count(participant_id)]) AS values_exposed FROM word_level"),
+)
 def feature_set_leaks(t: Tables):
-    """Forbidden predictors per feature set, from column names."""
-    columns = panels.word_level(t).columns
-    sets = {"everything": columns, "gaze": ["FFD", "GD", "TRT"]}
+    """Forbidden predictors per feature set, and how many values they would expose."""
+    rows = panels.word_level(t)
+    sets = {"everything": rows.columns, "gaze": ["FFD", "GD", "TRT"]}
     found = contracts.leakage_columns(sets, [*contracts.LEAKAGE_COLUMNS, *contracts.EXPOSURE_COUNTS])
-    rows = [(name, c) for name, cols in found.items() for c in cols]
-    return t.spark.createDataFrame(rows, "feature_set string, forbidden_column string")
+    items = [F.struct(F.lit(s).alias("feature_set"), F.lit(c).alias("forbidden_column"), F.count(c).alias("values_exposed")) for s, cols in found.items() for c in cols]
+    return rows.agg(F.array(*items).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so lost executors do not replay a loop."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` stored as a table in the shared folder and read back.
+
+    Lost executors then re-read files instead of replaying a loop, the rows are
+    computed once (an RDD checkpoint computes them twice), and the reader knows
+    the table's size, so a small one is broadcast by size and not by hope.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
