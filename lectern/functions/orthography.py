@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import fixed_values as fv
 
@@ -58,30 +58,41 @@ def map_fixed(value: Column, table: dict) -> Column:
     return ladder
 
 
-def boundary_columns(
-    previous: Column | str, word: Column | str, initial: Column, vowels: str = fv.VOWELS
-) -> dict[str, Column]:
+def edge_class(char: Column, vowels: str = fv.VOWELS) -> Column:
+    """Class of the first or last character of a stripped token: a letter, or nothing at all."""
+    return F.when(F.coalesce(char, F.lit("")) == "", "unknown").when(F.contains(F.lit(vowels), char), "V").otherwise("C")
+
+
+def add_boundary_columns(
+    df: DataFrame, previous: str, word: str, initial: str, vowels: str = fv.VOWELS
+) -> DataFrame:
     """Columns describing the boundary between a word and the one before it.
 
-    Sentence-initial rows have type ``unknown`` yet keep their vowel run.
+    Sentence-initial rows have type ``unknown`` yet keep their vowel run. The
+    columns are built in stages, so that each pattern runs once per row.
     """
-    before, after = strip_non_letters(previous), strip_non_letters(word)
-    left, right = letter_class(last_char(before), vowels), letter_class(first_char(after), vowels)
+    stripped = df.withColumns({"prev_word_normalized": strip_non_letters(previous), "word_normalized": strip_non_letters(word)})
+    before, after = F.col("prev_word_normalized"), F.col("word_normalized")
+    edged = stripped.withColumns(
+        {
+            "orth_prev_final_cv": edge_class(F.substring(before, -1, 1), vowels),
+            "orth_word_initial_cv": edge_class(F.substring(after, 1, 1), vowels),
+        }
+    )
+    left, right = F.col("orth_prev_final_cv"), F.col("orth_word_initial_cv")
     kind = (
-        F.when(initial | (left == "unknown") | (right == "unknown"), "unknown")
+        F.when(F.col(initial) | (left == "unknown") | (right == "unknown"), "unknown")
         .when((left == "other") | (right == "other"), "other")
         .otherwise(F.concat(left, F.lit("#"), right))
     )
-    return {
-        "prev_word_normalized": before,
-        "word_normalized": after,
-        "orth_prev_final_cv": left,
-        "orth_word_initial_cv": right,
-        "orth_boundary_type": kind,
-        "vocoid_run_cross_boundary": trailing_vowels(before, vowels) + leading_vowels(after, vowels),
-        "boundary_opacity_score": boundary_score(kind),
-        "boundary_opacity_class": F.coalesce(map_fixed(kind, fv.BOUNDARY_CLASSES), F.lit("unknown")),
-    }
+    run = F.when(left == "V", trailing_vowels(before, vowels)).otherwise(0) + F.when(right == "V", leading_vowels(after, vowels)).otherwise(0)
+    typed = edged.withColumns({"orth_boundary_type": kind, "vocoid_run_cross_boundary": run})
+    return typed.withColumns(
+        {
+            "boundary_opacity_score": boundary_score("orth_boundary_type"),
+            "boundary_opacity_class": F.coalesce(map_fixed(F.col("orth_boundary_type"), fv.BOUNDARY_CLASSES), F.lit("unknown")),
+        }
+    )
 
 
 def boundary_score(kind: Column | str) -> Column:
@@ -93,22 +104,27 @@ def fallback_vocoid(kind: Column | str) -> Column:
     return map_fixed(_col(kind), fv.BOUNDARY_VOCOIDS)
 
 
-def word_vowel_columns(word: Column | str, vowels: str = fv.VOWELS) -> dict[str, Column]:
+def add_word_vowels(df: DataFrame, word: str, vowels: str = fv.VOWELS) -> DataFrame:
     """Per-word vowel counts, ratio and shape flags."""
-    norm = strip_non_letters(word)
-    n_vowels = F.regexp_count(norm, F.lit(f"[{vowels}]"))
-    n_letters = F.regexp_count(norm, F.lit(r"\p{L}"))
-    first, last = letter_class(first_char(norm), vowels), letter_class(last_char(norm), vowels)
-    return {
-        "word_normalized": norm,
-        "word_initial_cv_orth": first,
-        "word_final_cv_orth": last,
-        "starts_with_vowel": first == "V",
-        "ends_with_vowel": last == "V",
-        "within_word_vowel_run_max": longest_vowel_run(norm, vowels),
-        "word_vowel_count": n_vowels,
-        "word_vowel_ratio": F.try_divide(n_vowels.cast("double"), n_letters.cast("double")),
-        "has_vowel": n_vowels > 0,
-        "only_vowels": (n_letters > 0) & (n_vowels == n_letters),
-        "only_consonants": (n_letters > 0) & (n_vowels == 0),
-    }
+    base = df if "word_normalized" in df.columns else df.withColumn("word_normalized", strip_non_letters(word))
+    norm = F.col("word_normalized")
+    counted = base.withColumns(
+        {
+            "word_initial_cv_orth": edge_class(F.substring(norm, 1, 1), vowels),
+            "word_final_cv_orth": edge_class(F.substring(norm, -1, 1), vowels),
+            "within_word_vowel_run_max": longest_vowel_run(norm, vowels),
+            "word_vowel_count": F.regexp_count(norm, F.lit(f"[{vowels}]")),
+            "__letters": F.regexp_count(norm, F.lit(r"\p{L}")),
+        }
+    )
+    v, n = F.col("word_vowel_count"), F.col("__letters")
+    return counted.withColumns(
+        {
+            "starts_with_vowel": F.col("word_initial_cv_orth") == "V",
+            "ends_with_vowel": F.col("word_final_cv_orth") == "V",
+            "word_vowel_ratio": F.try_divide(v.cast("double"), n.cast("double")),
+            "has_vowel": v > 0,
+            "only_vowels": (n > 0) & (v == n),
+            "only_consonants": (n > 0) & (v == 0),
+        }
+    ).drop("__letters")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Characters per position block: spans only meet spans that share a block.
-BLOCK = 256
+BLOCK = 64
 
 
-def _blocks(df: DataFrame, start: str, end: str) -> DataFrame:
-    first, last = F.floor(F.col(start) / BLOCK), F.floor((F.col(end) - 1) / BLOCK)
-    return df.withColumn("__block", F.explode(F.sequence(first, last)))
+def _block(position: Column) -> Column:
+    return F.floor(position / BLOCK)
+
+
+def _blocks(start: str, end: str):
+    """Blocks a span touches; a single null block for an empty span, which then meets nothing."""
+    real = F.col(end) > F.col(start)
+    return F.when(real, F.sequence(_block(F.col(start)), _block(F.col(end) - 1))).otherwise(F.array(F.lit(None).cast("long")))
 
 
 def align_tokens(tokens: DataFrame, words: DataFrame, context: str = "context_id") -> DataFrame:
@@ -19,23 +24,32 @@ def align_tokens(tokens: DataFrame, words: DataFrame, context: str = "context_id
     ``tokens``: context, ``token_ord``, ``token_start``, ``token_end``.
     ``words``: context, ``ord``, ``word_id``, ``start``, ``end``.
     The overlap is an equi join on (context, block of characters) plus the range
-    condition, so a long context never meets itself in full. A pair is counted
-    only in the block where its overlap begins.
+    condition, so a long context never meets itself in full. A pair counts only
+    in the block where its overlap begins. Outer rows keep unmatched tokens, so
+    one join and one aggregation do.
     """
-    real = tokens.where(F.col("token_end") > F.col("token_start")).select(context, "token_ord", "token_start", "token_end")
-    t = _blocks(real, "token_start", "token_end")
-    w = _blocks(words.where(F.col("end") > F.col("start")).select(context, "ord", "word_id", "start", "end"), "start", "end")
-    begin = F.greatest("token_start", "start")
-    overlap = F.least("token_end", "end") - begin
-    met = t.join(w, [context, "__block"]).where(
-        (F.col("token_start") < F.col("end"))
-        & (F.col("start") < F.col("token_end"))
-        & (F.floor(begin / BLOCK) == F.col("__block"))
+    rest = [c for c in tokens.columns if c not in (context, "token_ord")]
+    t = tokens.withColumn("__block", F.explode(_blocks("token_start", "token_end")))
+    spans = words.where(F.col("end") > F.col("start"))
+    w = spans.select(
+        F.col(context).alias("__context"), F.col("ord").alias("__ord"), F.col("word_id").alias("__word"), F.col("start").alias("__start"),
+        F.col("end").alias("__end"), F.explode(_blocks("start", "end")).alias("__wblock"),
+    )
+    begin = F.greatest(F.col("token_start"), F.col("__start"))
+    meets = (
+        (F.col(context) == F.col("__context"))
+        & (F.col("__block") == F.col("__wblock"))
+        & (F.col("token_start") < F.col("__end"))
+        & (F.col("__start") < F.col("token_end"))
+        & (_block(begin) == F.col("__block"))
     )
+    met = t.join(w, meets, "left")
+    overlap = F.least(F.col("token_end"), F.col("__end")) - begin
+    rank = F.when(F.col("__word").isNotNull(), F.struct(overlap.alias("o"), (-F.col("__ord")).alias("first")))
     best = met.groupBy(context, "token_ord").agg(
-        F.max_by("word_id", F.struct(overlap.alias("o"), (-F.col("ord")).alias("first"))).alias("word_id")
+        F.any_value(F.struct(*rest)).alias("__rest"), F.max_by("__word", rank).alias("word_id")
     )
-    return tokens.join(best, [context, "token_ord"], "left")
+    return best.select(context, "token_ord", *[F.col(f"__rest.{c}").alias(c) for c in rest], "word_id")
 
 
 def word_scores(assigned: DataFrame, words: DataFrame, context: str = "context_id") -> DataFrame:

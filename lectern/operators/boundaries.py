@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import fixed_values as fv
 from lectern.functions.numeric import interval_labels, ratio, right_closed_bin
-from lectern.functions.orthography import boundary_columns
-from lectern.operators.joins import first_per_key
+from lectern.functions.orthography import add_boundary_columns
 from lectern.operators.sequence import ordered_features
 
+#: Key of a sentence; its words come from one text cell, so a plain window over it is small.
+SENTENCE = ("text_id", "p", "s")
+
 
 def boundary_table(
     words: DataFrame,
-    sentence: str = "sentence_id",
+    sentence: Sequence[str] = SENTENCE,
     order: Sequence[str] = ("w",),
     word: str = "word_form",
     chunk: Column | None = None,
@@ -30,23 +32,23 @@ def boundary_table(
     base = words
     if "prev_word" not in base.columns:
         base = ordered_features(
-            base, [sentence], order, chunk=chunk, previous={"prev_word": word, "prev_word_id": "word_id"}
+            base, sentence, order, chunk=chunk, previous={"prev_word": word, "prev_word_id": "word_id"}
         )
     elif "prev_word_id" not in base.columns:
         base = base.withColumn(
-            "prev_word_id", F.when(F.col("prev_word").isNotNull(), F.concat(sentence, F.lit("_w"), F.col("w") - 1))
+            "prev_word_id", F.when(F.col("prev_word").isNotNull(), F.concat("sentence_id", F.lit("_w"), F.col("w") - 1))
         )
     initial = F.col("prev_word_id").isNull()
     labelled = base.withColumn("is_sentence_initial_boundary", initial)
-    labelled = labelled.withColumns(boundary_columns("prev_word", word, F.col("is_sentence_initial_boundary"), vowels))
+    labelled = add_boundary_columns(labelled, "prev_word", word, "is_sentence_initial_boundary", vowels)
     return labelled if include_initial else labelled.where(~F.col("is_sentence_initial_boundary"))
 
 
-def neighbour_boundaries(boundaries: DataFrame, sentence: str = "sentence_id", order: Sequence[str] = ("w",), chunk: Column | None = None) -> DataFrame:
+def neighbour_boundaries(boundaries: DataFrame, sentence: Sequence[str] = SENTENCE, order: Sequence[str] = ("w",), chunk: Column | None = None) -> DataFrame:
     """Boundary before and boundary after each word: the latter is the next row's own."""
     parts = {"type": "orth_boundary_type", "score": "boundary_opacity_score", "class": "boundary_opacity_class"}
     placed = ordered_features(
-        boundaries, [sentence], order, chunk=chunk, following={f"next_boundary_{k}": c for k, c in parts.items()}
+        boundaries, sentence, order, chunk=chunk, following={f"next_boundary_{k}": c for k, c in parts.items()}
     )
     return placed.withColumnsRenamed({c: f"prev_boundary_{k}" for k, c in parts.items()})
 

@@ -8,33 +8,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.numeric import ratio, to_number
 from lectern.functions.tokens import lix
-from lectern.operators.sequence import by_rows, ordered_features
+from lectern.operators.sequence import ordered_features
 
 
-def sentence_chunk() -> Column:
-    return by_rows("w")
+#: Keys of the units. A unit's words come from one text cell, which a single task
+#: has already held when it split the text: plain windows over them are bounded by
+#: a cell. Hash partitioning on the paragraph also serves the sentence windows, so
+#: both units share one shuffle when the paragraph comes first.
+SENTENCE = ("text_id", "p", "s")
+PARAGRAPH = ("text_id", "p")
 
 
-def paragraph_chunk() -> Column:
-    """Chunks that follow (sentence, word) order and also cut a giant sentence."""
-    return F.struct(F.col("s"), by_rows("w"))
+def add_positions(words: DataFrame, unit: str, key: Sequence[str], order: Sequence[str], chunk: Column | None = None) -> DataFrame:
+    """0-based index, unit length and relative position (0 for a single word).
 
-
-def add_positions(words: DataFrame, unit: str, key: str, order: Sequence[str], chunk: Column | None = None) -> DataFrame:
-    """0-based index, unit length and relative position (0 for a single word)."""
+    Pass a ``chunk`` for units that are not bounded by a text cell.
+    """
     placed = ordered_features(
-        words, [key], order, chunk=chunk, index=f"word_index_in_{unit}", size=f"{unit}_length_words"
+        words, key, order, chunk=chunk, index=f"word_index_in_{unit}", size=f"{unit}_length_words"
     )
     relative = F.coalesce(ratio(F.col(f"word_index_in_{unit}"), F.col(f"{unit}_length_words") - 1), F.lit(0.0))
     return placed.withColumn(f"word_position_in_{unit}_norm", relative)
 
 
 def add_offsets(
-    words: DataFrame, unit: str, key: str, order: Sequence[str], word: str = "word_form", chunk: Column | None = None
+    words: DataFrame, unit: str, key: Sequence[str], order: Sequence[str], word: str = "word_form", chunk: Column | None = None
 ) -> DataFrame:
     """Character span of each word when the unit's words are joined by one blank."""
     start, length = f"word_start_in_{unit}", F.length(F.coalesce(F.col(word), F.lit("")))
-    placed = ordered_features(words, [key], order, chunk=chunk, running={start: length + 1})
+    placed = ordered_features(words, key, order, chunk=chunk, running={start: length + 1})
     return placed.withColumn(f"word_end_in_{unit}", F.col(start) + length)
 
 
@@ -92,9 +94,9 @@ def text_readability(paragraphs: DataFrame) -> DataFrame:
     )
 
 
-def unit_positions(units: DataFrame, parent: str, order: Sequence[str], name: str, chunk: Column | None = None) -> DataFrame:
+def unit_positions(units: DataFrame, parent: Sequence[str], order: Sequence[str], name: str, chunk: Column | None = None) -> DataFrame:
     """0-based position of a unit inside its parent."""
-    return ordered_features(units, [parent], order, chunk=chunk, index=name)
+    return ordered_features(units, parent, order, chunk=chunk, index=name)
 
 
 def stable_order(df: DataFrame, first: Sequence[str], numeric: Sequence[str], last: Sequence[str] = ()) -> DataFrame:

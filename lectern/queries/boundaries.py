@@ -17,10 +17,7 @@ from lectern.queries.sql import V, WORDS, strip_letters, with_boundary, with_voc
 def labelled(t: Tables):
     """Boundary rows: the tokeniser already knows the neighbours, so this adds no shuffle."""
     words = corpus.words_from_texts(t.documents)
-    return boundaries.boundary_table(words).withColumns(
-        {k: v for k, v in orthography.word_vowel_columns("word_form").items()
-         if k in ("starts_with_vowel", "ends_with_vowel", "within_word_vowel_run_max")}
-    )
+    return orthography.add_word_vowels(boundaries.boundary_table(words), "word_form")
 
 
 @query(
@@ -32,7 +29,7 @@ SELECT word_id, prev_word_id, prev_word, initial AS is_sentence_initial_boundary
 def boundary_labels(t: Tables):
     """Boundary type, score, class and vowel run of every word."""
     words = corpus.words_from_texts(t.documents).drop("prev_word", "next_word", "tokens_in_sentence")
-    return boundaries.boundary_table(words, chunk=hierarchy.sentence_chunk()).select(
+    return boundaries.boundary_table(words).select(
         "word_id", "prev_word_id", "prev_word", "is_sentence_initial_boundary", "orth_boundary_type",
         "boundary_opacity_score", "boundary_opacity_class", "vocoid_run_cross_boundary",
     )
@@ -50,7 +47,7 @@ SELECT conv_id::VARCHAR AS paragraph_id, count(*) AS boundaries, count(*) FILTER
 )
 def conversation_boundaries(t: Tables):
     """Boundary labels over conversations (paragraph = conversation, sentence = turn)."""
-    rows = boundaries.boundary_table(corpus.words_from_turns(t.conversations), chunk=hierarchy.sentence_chunk())
+    rows = boundaries.boundary_table(corpus.words_from_turns(t.conversations), ["sentence_id"], chunk=by_rows("w"))
     return rows.groupBy("paragraph_id").agg(
         F.count(F.lit(1)).alias("boundaries"),
         F.count_if("is_sentence_initial_boundary").alias("initial_boundaries"),
@@ -67,8 +64,8 @@ SELECT word_id, orth_boundary_type AS prev_boundary_type, boundary_opacity_score
 )
 def neighbour_boundaries(t: Tables):
     """Boundary before and after each word."""
-    rows = labelled(t).select("word_id", "sentence_id", "w", "orth_boundary_type", "boundary_opacity_score", "boundary_opacity_class")
-    return boundaries.neighbour_boundaries(rows, chunk=hierarchy.sentence_chunk()).drop("sentence_id", "w")
+    rows = labelled(t).select("word_id", "text_id", "p", "s", "w", "orth_boundary_type", "boundary_opacity_score", "boundary_opacity_class")
+    return boundaries.neighbour_boundaries(rows).drop("text_id", "p", "s", "w")
 
 
 _SUMMARY = f"""
@@ -222,7 +219,7 @@ CHUNK = 5
 
 def spans(t: Tables):
     words = corpus.words_from_texts(t.documents)
-    placed = hierarchy.add_offsets(words, "sentence", "sentence_id", ["w"], chunk=hierarchy.sentence_chunk())
+    placed = hierarchy.add_offsets(words, "sentence", hierarchy.SENTENCE, ["w"])
     return placed.select(
         F.col("sentence_id").alias("context_id"), F.col("w").alias("ord"), "word_id", "word_form",
         F.col("word_start_in_sentence").alias("start"), F.col("word_end_in_sentence").alias("end"),

@@ -142,7 +142,7 @@ _INTER = {"lm_word_surprisal": "main explanatory support", "word_length_chars":
 @query(
     "m22_interaction_synthesis",
     with_panel(", s AS (" + " UNION ALL ".join(f"SELECT '{f}' AS interaction, {sql_slope('TRT', f, 5)} AS b FROM word_level GROUP BY participant_id" for f in [*_INTER, "log_corpus_frequency"]) + f"""),
-c AS (SELECT interaction, avg(b) AS estimate, stddev_samp(b) / sqrt(count(b)) AS std_error FROM s GROUP BY 1), p AS (SELECT *, exp(-(estimate / std_error) ** 2 / 2) AS p_value FROM c)
+c AS (SELECT interaction, avg(b) AS estimate, stddev_samp(b) / sqrt(count(b)) AS std_error FROM s GROUP BY 1), p AS (SELECT *, exp(-((estimate / std_error) ** 2) / 2) AS p_value FROM c)
 SELECT *, CASE WHEN estimate > 0 THEN 'positive' WHEN estimate < 0 THEN 'negative' ELSE 'zero' END AS direction, coalesce(p_value < 0.05, false) AS survives_controls,
   CASE interaction {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _INTER.items())} END AS paper_role FROM p WHERE interaction <> 'log_corpus_frequency'"""),
     floats="estimate std_error p_value",

@@ -35,10 +35,10 @@ FROM words"""),
 )
 def word_positions(t: Tables):
     """Index, length and relative position of each word in sentence and paragraph."""
-    base = words(t).select("word_id", "sentence_id", "paragraph_id", "s", "w")
-    base = hierarchy.add_positions(base, "sentence", "sentence_id", ["w"], hierarchy.sentence_chunk())
-    base = hierarchy.add_positions(base, "paragraph", "paragraph_id", ["s", "w"], hierarchy.paragraph_chunk())
-    return base.drop("s", "w")
+    base = words(t).select("word_id", "sentence_id", "paragraph_id", "text_id", "p", "s", "w")
+    base = hierarchy.add_positions(base, "paragraph", hierarchy.PARAGRAPH, ["s", "w"])
+    base = hierarchy.add_positions(base, "sentence", hierarchy.SENTENCE, ["w"])
+    return base.drop("text_id", "p", "s", "w")
 
 
 @query(
@@ -54,10 +54,10 @@ FROM words WINDOW a AS (PARTITION BY sentence_id ORDER BY w ROWS UNBOUNDED PRECE
 )
 def text_offsets(t: Tables):
     """Character spans of the words, per sentence and per paragraph."""
-    base = words(t).select("word_id", "word_form", "sentence_id", "paragraph_id", "s", "w")
-    base = hierarchy.add_offsets(base, "sentence", "sentence_id", ["w"], chunk=hierarchy.sentence_chunk())
-    base = hierarchy.add_offsets(base, "paragraph", "paragraph_id", ["s", "w"], chunk=hierarchy.paragraph_chunk())
-    return base.drop("sentence_id", "paragraph_id", "s", "w")
+    base = words(t).select("word_id", "word_form", "text_id", "p", "s", "w")
+    base = hierarchy.add_offsets(base, "paragraph", hierarchy.PARAGRAPH, ["s", "w"])
+    base = hierarchy.add_offsets(base, "sentence", hierarchy.SENTENCE, ["w"])
+    return base.drop("text_id", "p", "s", "w")
 
 
 @query(
@@ -143,11 +143,9 @@ FROM (SELECT DISTINCT text_id, paragraph_id, sentence_id, p, s FROM words)"""),
 def w07(t: Tables):
     """Position of sentence in paragraph and of paragraph in text."""
     units = words(t).where("w = 1").select("text_id", "paragraph_id", "sentence_id", "p", "s")
-    from lectern.operators.sequence import by_rows
-
-    placed = hierarchy.unit_positions(units, "paragraph_id", ["s"], "sentence_position_in_paragraph", by_rows("s"))
+    placed = hierarchy.unit_positions(units, hierarchy.PARAGRAPH, ["s"], "sentence_position_in_paragraph")
     paragraphs = units.select("text_id", "paragraph_id", "p").distinct()
-    paragraphs = hierarchy.unit_positions(paragraphs, "text_id", ["p"], "paragraph_position_in_text", by_rows("p"))
+    paragraphs = hierarchy.unit_positions(paragraphs, ["text_id"], ["p"], "paragraph_position_in_text")
     return placed.join(paragraphs.select("paragraph_id", "paragraph_position_in_text"), "paragraph_id").select(
         "sentence_id", "paragraph_id", "sentence_position_in_paragraph", "paragraph_position_in_text"
     )
@@ -303,7 +301,7 @@ SELECT word_form, b AS word_normalized, {letter_class('left(b, 1)')} AS word_ini
 )
 def p18(t: Tables):
     """Vowel structure of each form."""
-    forms = vocab(t).select("word_form").withColumns(orthography.word_vowel_columns("word_form"))
+    forms = orthography.add_word_vowels(vocab(t).select("word_form"), "word_form")
     core = F.col("word_normalized")
     return forms.withColumns(
         {"leading_run": orthography.leading_vowels(core), "trailing_run": orthography.trailing_vowels(core)}
