@@ -53,27 +53,27 @@ def binary_metrics(
     fp = F.col("__N") - F.col("__neg_below")
     high = s >= threshold
     sums = c.groupBy(*keys).agg(
-        F.max("__P").alias("P"),
-        F.max("__N").alias("N"),
-        F.sum(pos * (F.col("__neg_below") + neg / 2)).alias("u"),
-        F.sum(pos * F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))).alias("ap"),
-        F.sum(pos * (1 - s) * (1 - s) + neg * s * s).alias("sq"),
-        F.sum((pos + neg) * s).alias("mean"),
-        F.sum(F.when(high, pos).otherwise(0.0)).alias("tp"),
-        F.sum(F.when(high, neg).otherwise(0.0)).alias("fp"),
+        F.max("__P").alias("__m_p"),
+        F.max("__N").alias("__m_n"),
+        F.sum(pos * (F.col("__neg_below") + neg / 2)).alias("__m_u"),
+        F.sum(pos * F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))).alias("__m_ap"),
+        F.sum(pos * (1 - s) * (1 - s) + neg * s * s).alias("__m_sq"),
+        F.sum((pos + neg) * s).alias("__m_mean"),
+        F.sum(F.when(high, pos).otherwise(0.0)).alias("__m_tp"),
+        F.sum(F.when(high, neg).otherwise(0.0)).alias("__m_fp"),
     )
-    P, N, tp, fp = F.col("P"), F.col("N"), F.col("tp"), F.col("fp")
+    P, N, tp, fp = F.col("__m_p"), F.col("__m_n"), F.col("__m_tp"), F.col("__m_fp")
     both = (P > 0) & (N > 0)
     total = P + N
     return sums.select(
         *keys,
         total.alias("n_predictions"),
-        F.when(both, F.col("u") / (P * N)).alias("roc_auc"),
-        F.when(both, F.col("ap") / P).alias("pr_auc"),
-        F.when(both, F.col("sq") / total).alias("brier_score"),
+        F.when(both, F.col("__m_u") / (P * N)).alias("roc_auc"),
+        F.when(both, F.col("__m_ap") / P).alias("pr_auc"),
+        F.when(both, F.col("__m_sq") / total).alias("brier_score"),
         F.when(both, (tp / P + (N - fp) / N) / 2).alias("balanced_accuracy"),
         F.when(both, (_f1(tp, fp, P - tp) + _f1(N - fp, P - tp, fp)) / 2).alias("macro_f1"),
-        ratio(F.col("mean"), total).alias("calibration_mean_predicted"),
+        ratio(F.col("__m_mean"), total).alias("calibration_mean_predicted"),
         ratio(P, total).alias("calibration_observed_rate"),
     )
 
@@ -93,10 +93,10 @@ def calibration_line(df: DataFrame, keys: Sequence[str], label: str = "y_true",
     cells = score_cells(df, keys, label, score).withColumn("__x", logit("__s"))
     keyed, by = (cells, list(keys)) if keys else (cells.withColumn("__all", F.lit(1)), ["__all"])
     size = keyed.groupBy(*by).agg(
-        F.sum(F.col("__pos") + F.col("__neg")).alias("n"),
-        ((F.sum("__pos") > 0) & (F.sum("__neg") > 0) & (F.min("__x") < F.max("__x")) & (F.sum(F.col("__pos") + F.col("__neg")) >= 3)).alias("ok"),
+        F.sum(F.col("__pos") + F.col("__neg")).alias("__n"),
+        ((F.sum("__pos") > 0) & (F.sum("__neg") > 0) & (F.min("__x") < F.max("__x")) & (F.sum(F.col("__pos") + F.col("__neg")) >= 3)).alias("__ok"),
     )
-    usable = keyed.join(size.where("ok").select(*by), by, "left_semi")
+    usable = keyed.join(size.where("__ok").select(*by), by, "left_semi")
     sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("__pos").alias("w")), F.struct(F.lit(0).alias("y"), F.col("__neg").alias("w"))))
     rows = usable.select(*by, "__x", sides.alias("o")).select(*by, "__x", F.col("o.y").alias("__y"), F.col("o.w").alias("__w")).where("__w > 0")
     fitted = fit_linear_classifiers(rows, by, ["__x"], "__y", weight="__w", penalty=0.0, iterations=iterations)
@@ -108,7 +108,7 @@ def leave_one_out_auc(df: DataFrame, unit: str, label: str = "y_true", score: st
     """ROC-AUC without each unit, in closed form from the pair counts: no refit, no n x n table."""
     c = cumulative_cells(score_cells(df, [], label, score), [])
     s, pos, neg = F.col("__s"), F.col("__pos"), F.col("__neg")
-    pairs = c.agg(F.sum(pos * (F.col("__neg_below") + neg / 2)).alias("U"))
+    pairs = c.agg(F.sum(pos * (F.col("__neg_below") + neg / 2)).alias("__u"))
     from lectern.operators.scalars import with_totals
 
     as_positive = F.col("__neg_below") + neg / 2
@@ -121,6 +121,6 @@ def leave_one_out_auc(df: DataFrame, unit: str, label: str = "y_true", score: st
     N = F.col("__N") - F.when(yes, 0).otherwise(1)
     return rows.select(
         unit, label, score,
-        (F.col("U") / (F.col("__P") * F.col("__N"))).alias("roc_auc"),
-        F.try_divide(F.col("U") - lost, P * N).alias("leave_one_roc_auc"),
+        (F.col("__u") / (F.col("__P") * F.col("__N"))).alias("roc_auc"),
+        F.try_divide(F.col("__u") - lost, P * N).alias("leave_one_roc_auc"),
     ).withColumn("delta_roc_auc", F.col("leave_one_roc_auc") - F.col("roc_auc"))
