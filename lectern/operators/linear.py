@@ -124,8 +124,11 @@ def fit_residuals(df: DataFrame, outcome: str, predictors: Sequence[str], out: s
 
 
 def leave_one_out_moments(df: DataFrame, unit: str, predictors: Sequence[str], outcome: str) -> DataFrame:
-    """Per unit: the sums over all other units."""
-    own = moments(df, [unit], predictors, outcome)
+    """Per unit: the sums over all other units.
+
+    The per-unit sums are stored, as the total and every unit read them; the rows are reduced once.
+    """
+    own = cut_lineage(moments(df, [unit], predictors, outcome))
     names = moment_names(len(predictors))
     total = own.agg(*[F.sum(n).alias(f"__t{n}") for n in names])
     held = with_totals(own, total)
@@ -332,7 +335,7 @@ def association_model(
         return fit.select(*keys, "n", F.explode(items).alias("t")).select(*keys, "n", "t.*")
 
     spread = by_term(fits, ["iteration"])
-    limits = exact_quantiles(spread, ["term"], "estimate", {"ci_low": 0.025, "ci_high": 0.975}, buckets=16)
+    limits = exact_quantiles(spread, ["term"], "estimate", {"ci_low": 0.025, "ci_high": 0.975}, bars=2)
     b = F.col("estimate")
     errors = spread.groupBy("term").agg(
         F.stddev_samp(b).alias("std_error"), F.count(b).alias("n_bootstrap"),

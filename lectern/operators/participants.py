@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.functions import fixed_values as fv
 from lectern.functions.hashing import md5_bucket, md5_hex
@@ -91,11 +91,14 @@ def class_aware_sample(
 def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
     """Exactly n rows (all when fewer), the smallest by md5(seed | keys): repeatable and engine-neutral.
 
-    The rank is chunked by the leading digest digits, so no task orders the whole table.
+    Counts of the leading digest digits (4096 buckets) tell the last bucket that
+    is needed; only rows up to it are ordered, so the table is not shuffled.
     """
-    hashed = df.withColumns({"__h": md5_hex(F.lit(seed), *[F.col(k) for k in keys]), "__all": F.lit(1)})
-    ranked = ordered_features(hashed, ["__all"], ["__h"], chunk=md5_bucket(F.col("__h")), index="__rank")
-    return ranked.where(F.col("__rank") < n).select(*df.columns)
+    hashed = df.withColumn("__h", md5_hex(F.lit(seed), *[F.col(k) for k in keys])).withColumn("__b", md5_bucket(F.col("__h")))
+    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    upto = counts.withColumn("__cum", F.sum("__c").over(Window.orderBy("__b")))
+    last = upto.agg(F.coalesce(F.min(F.when(F.col("__cum") >= n, F.col("__b"))), F.max("__b")).alias("__last"))
+    return hashed.where(F.col("__b") <= last.scalar()).orderBy("__h").limit(n).select(*df.columns)
 
 
 def limit_sample(panel: DataFrame, readers: int, texts: int, reader: str = "participant_id", text: str = "text_id") -> DataFrame:

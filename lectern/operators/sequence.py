@@ -116,26 +116,26 @@ def _plain(df, keys, order, index, size, running, totals, previous, following) -
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], buckets: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], bars: int = 64
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per key without gathering a key in one task.
 
-    Equal values are counted first (map-side combine), then a histogram per key
-    of at most ``buckets`` + 1 bars locates the bars that hold the wanted ranks;
-    only the values inside those bars are ordered.
+    Equal values are counted first (map-side combine). A mergeable sketch of the
+    distinct values then cuts each key into ``bars`` bars of about equally many
+    values, whatever the shape of the distribution; the bar counts tell which
+    bars hold the wanted ranks, and only the values inside those are ordered.
+    The sketch only places the cuts, so its error cannot reach the result.
     """
     if not keys:
-        one = exact_quantiles(df.withColumn("__one", F.lit(1)), ["__one"], value, probabilities, buckets)
+        one = exact_quantiles(df.withColumn("__one", F.lit(1)), ["__one"], value, probabilities, bars)
         return one.drop("__one")
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
         F.count(F.lit(1)).alias("__c")
     )
-    ranges = counts.groupBy(*[F.col(k).alias(f"__r_{k}") for k in keys]).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n")
-    )
-    width = F.col("__hi") - F.col("__lo")
-    bar = F.coalesce(F.floor(F.try_divide((F.col("__v") - F.col("__lo")) * buckets, width)), F.lit(0)).cast("int")
+    cuts = F.percentile_approx("__v", [i / bars for i in range(1, bars)], 1000) if bars > 1 else F.array().cast("array<double>")
+    ranges = counts.groupBy(*[F.col(k).alias(f"__r_{k}") for k in keys]).agg(cuts.alias("__cuts"), F.sum("__c").alias("__n"))
+    bar = F.size(F.filter("__cuts", lambda cut: cut < F.col("__v")))
     matched = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     placed = counts.join(ranges, matched).select(*keys, "__v", "__c", "__n", bar.alias("__bar"))
     bars = placed.groupBy(*keys, "__bar").agg(F.sum("__c").alias("__bc"), F.max("__n").alias("__n"))

@@ -48,7 +48,11 @@ def shard_assignment(t: Tables):
     return assign_shards(t.events.select("event_id"), "event_id", 7, by_rows("event_id", 512))
 
 
-@query("s06_report_counts")
+@query(
+    "s06_report_counts",
+    """SELECT 'status' AS kind, CASE WHEN length(text) > 400 THEN 'warning' ELSE 'ok' END AS value, count(*) AS count FROM conversations GROUP BY 2
+UNION ALL SELECT 'warning', 'token_offset_outside_text', count(*) FROM conversations WHERE length(text) > 400 HAVING count(*) > 0""",
+)
 def report_counts(t: Tables):
     """Alignment-report counts of contexts derived from conversations (file-based path is tested separately)."""
     rows = t.conversations.select(

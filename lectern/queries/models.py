@@ -229,6 +229,13 @@ def influence_refits(t: Tables):
     return learning.influence_refits(readers, five_folds(readers, 2), "participant_id", ["mean_trt", "surprisal_sensitivity"], "label", iterations=8)
 
 
+@query("m10_permutation_refits")
+def permutation_refits(t: Tables):
+    """Label permutation with the model refitted for every deal."""
+    readers = reader_table(t)
+    return learning.permutation_refits(readers, five_folds(readers, 2), "participant_id", ["mean_trt", "surprisal_sensitivity"], "label", permutations=50, iterations=8)
+
+
 @query("m13_a30_coefficient_stability")
 def coefficient_stability(t: Tables):
     """Coefficients per fold and their stability."""

@@ -40,14 +40,21 @@ def test_previous_keeps_null_values(spark):
     assert [r.p for r in rows] == [None, None, 5]
 
 
-@pytest.mark.parametrize("buckets", [1, 8, 1024])
-def test_exact_quantiles(skewed, buckets):
+@pytest.mark.parametrize("bars", [1, 4, 64])
+def test_exact_quantiles(skewed, bars):
     frame, df = skewed
-    got = sequence.exact_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.9}, buckets).toPandas().set_index("k").sort_index()
+    got = sequence.exact_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.9}, bars).toPandas().set_index("k").sort_index()
     want = frame.groupby("k").v.quantile([0.1, 0.5, 0.9]).unstack()
     assert np.allclose(got[["a", "b", "c"]].to_numpy(), want.to_numpy())
 
 
+def test_quantiles_with_an_outlier(spark):
+    values = [float(v) for v in range(101)] + [1e15]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = sequence.exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.25}).first()
+    assert row.m == 50.5 and row.q == 25.25
+
+
 def test_quantiles_without_keys_and_nulls(spark):
     df = spark.createDataFrame([(1.0,), (None,), (4.0,)], "v double")
     assert sequence.exact_quantiles(df, [], "v", {"m": 0.5}).first().m == 2.5
