@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.numeric import ratio
+from lectern.session import cut_lineage
 
 POS_TAGS = ("ADP", "NOUN", "PART", "PROPN", "SCONJ", "VERB")
 
@@ -38,9 +39,9 @@ def mean_gram_frequency(
     """Mean corpus count of a form's n-grams; 0 for forms shorter than n.
 
     Counts come from forms weighted by their tokens, so a frequent word costs
-    one row, not one per occurrence.
+    one row, not one per occurrence. The weighted forms are stored: the corpus is read once.
     """
-    forms = forms.groupBy(word).agg(F.sum(tokens).alias("__t"))
+    forms = cut_lineage(forms.groupBy(word).agg(F.sum(tokens).alias("__t")))
     pieces = forms.select(word, "__t", F.explode(grams(word, n)).alias("__gram"))
     counts = pieces.groupBy("__gram").agg(F.sum("__t").alias("__count"))
     means = pieces.join(counts, "__gram").groupBy(word).agg(F.avg("__count").alias(name))

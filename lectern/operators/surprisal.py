@@ -8,17 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.operators.scalars import with_totals
+from lectern.session import cut_lineage
 
 
 def bigram_model(words: DataFrame, word: str = "word_form", previous: str = "prev_word", alpha: float = 0.5) -> DataFrame:
     """Smoothed bigram scores: surprisal of each (previous, word) and entropy after each previous word.
 
-    Only counts are shuffled. Contexts keep their unseen mass in closed form:
+    The corpus is read once, into the stored pair counts that all later steps use. Contexts keep their unseen mass in closed form:
     (V - k) words of probability alpha / (n + alpha V) each.
     """
-    seen = words.where(F.col(previous).isNotNull())
-    pairs = seen.groupBy(previous, word).agg(F.count(F.lit(1)).alias("pair_count"))
-    size = words.agg(F.countDistinct(word).alias("__v"))
+    counts = cut_lineage(words.groupBy(previous, word).agg(F.count(F.lit(1)).alias("pair_count")))
+    pairs = counts.where(F.col(previous).isNotNull())
+    size = counts.agg(F.countDistinct(word).alias("__v"))
     contexts = pairs.groupBy(previous).agg(F.sum("pair_count").alias("context_count"), F.count(F.lit(1)).alias("__k"))
     joined = with_totals(pairs.join(contexts, previous), size)
     mass = F.col("context_count") + alpha * F.col("__v")
