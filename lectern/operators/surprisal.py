@@ -20,18 +20,17 @@ def bigram_model(words: DataFrame, word: str = "word_form", previous: str = "pre
     counts = cut_lineage(words.groupBy(previous, word).agg(F.count(F.lit(1)).alias("pair_count")))
     pairs = counts.where(F.col(previous).isNotNull())
     size = counts.agg(F.countDistinct(word).alias("__v"))
-    contexts = pairs.groupBy(previous).agg(F.sum("pair_count").alias("context_count"), F.count(F.lit(1)).alias("__k"))
-    joined = with_totals(pairs.join(contexts, previous), size)
-    mass = F.col("context_count") + alpha * F.col("__v")
-    p = (F.col("pair_count") + alpha) / mass
-    scored = joined.withColumns({"__p": p, "surprisal": -F.ln(p), "__p0": alpha / mass})
-    entropy = scored.groupBy(previous).agg(
-        (
-            F.sum(-F.col("__p") * F.ln("__p"))
-            - (F.max("__v") - F.max("__k")) * F.max("__p0") * F.ln(F.max("__p0"))
-        ).alias("entropy")
+    smoothed = F.col("pair_count") + alpha
+    contexts = pairs.groupBy(previous).agg(
+        F.sum("pair_count").alias("__n"), F.count(F.lit(1)).alias("__k"), F.sum(smoothed * F.ln(smoothed)).alias("__s")
     )
-    return scored.join(entropy, previous).select(previous, word, "pair_count", "surprisal", "entropy")
+    contexts = with_totals(contexts, size)
+    mass, unseen = F.col("__n") + alpha * F.col("__v"), F.col("__v") - F.col("__k")
+    # -sum p ln p over seen words, with p = (count + alpha) / mass, plus the unseen words' share
+    seen = F.ln(mass) * (F.col("__n") + alpha * F.col("__k")) / mass - F.col("__s") / mass
+    contexts = contexts.select(previous, mass.alias("__mass"), (seen - unseen * (alpha / mass) * F.ln(alpha / mass)).alias("entropy"))
+    scored = pairs.join(contexts, previous)
+    return scored.select(previous, word, "pair_count", (F.ln("__mass") - F.ln(smoothed)).alias("surprisal"), "entropy")
 
 
 def attach_scores(words: DataFrame, model: DataFrame, word: str = "word_form", previous: str = "prev_word") -> DataFrame:
