@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import fixed_values as fv, orthography
-from lectern.functions.numeric import ratio
+from lectern.functions import orthography
+
 from lectern.operators import alignment, audits, boundaries, hierarchy, lexicon, surprisal, vectors
-from lectern.operators.joins import first_per_key
+
 from lectern.operators.sequence import by_rows
 from lectern.plans import corpus
 from lectern.queries.registry import Tables, query
-from lectern.queries.sql import V, WORDS, strip_letters, with_boundary, with_vocab, with_words
+from lectern.queries.sql import V, WORDS, strip_letters, with_boundary, with_vocab
 
 
 def labelled(t: Tables):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed_values as fv
 from lectern.operators import audits, boundaries, contracts, hierarchy, joins, participants
 from lectern.operators.sequence import by_rows
-from lectern.plans import corpus, panels
+from lectern.plans import panels
 from lectern.queries.readers import GROUPS, QUALITY, SPLITS, all_splits, grouped_readers, quality_rows
 from lectern.queries.registry import TABLES, Tables, query
-from lectern.queries.sql import PANEL, with_panel, with_people, with_words, sql_corr
+from lectern.queries.sql import PANEL, with_panel, sql_corr
 from lectern.sources import readers as sources
 
 # --- sources and set operations ------------------------------------------------

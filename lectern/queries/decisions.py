@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import names
-from lectern.operators import catalog, contracts, linear, metrics, panel, profiles, reports, resampling
+from lectern.operators import catalog, contracts, linear, metrics, panel, profiles, reports
 from lectern.plans import panels, predictions
 from lectern.queries.evaluation import METRIC_FLOATS, PRED, _WORD, metric_sql
 from lectern.queries.models import X, OUTCOME, _SLOPES, _R

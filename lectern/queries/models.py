@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import contracts, learning, linear, metrics, panel, profiles, reports, splits
-from lectern.operators.participants import reader_groups
+
 from lectern.plans import panels
 from lectern.queries.registry import Tables, query
-from lectern.queries.sql import PANEL, with_panel, sql_slope
+from lectern.queries.sql import with_panel, sql_slope
 
 OUTCOME, X = "log_total_fixation_duration", "word_length_chars"
 

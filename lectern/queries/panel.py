@@ -9,7 +9,7 @@ from lectern.operators import joins, panel
 from lectern.operators.scalars import zscored
 from lectern.plans import panels
 from lectern.queries.registry import Tables, query
-from lectern.queries.sql import sql_slope, with_panel, with_people
+from lectern.queries.sql import sql_slope, with_panel
 
 MEASURES = "FFD GD TRT go_past_time fixation_count refixation_count"
 

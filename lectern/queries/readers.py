@@ -8,7 +8,7 @@ from lectern.operators import audits, flags, participants, splits
 from lectern.operators.sequence import by_rows
 from lectern.plans import panels
 from lectern.queries.registry import Tables, query
-from lectern.queries.sql import PANEL, PEOPLE, with_panel, with_people
+from lectern.queries.sql import PANEL, with_panel, with_people
 
 GROUPS = """, labelled AS (SELECT *, CASE WHEN label IS NULL THEN 'uncertain' WHEN label = 1 THEN 'dyslexia_labeled' ELSE 'typical_control' END AS reader_group,
   label AS reader_group_binary, label_provenance AS label_source, CASE WHEN label IS NULL THEN 'unknown' ELSE 'project_metadata' END AS diagnostic_provenance,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import numeric, orthography, tokens
+from lectern.functions import orthography, tokens
 from lectern.functions.fixed_values import LONG_WORD_CHARS
 from lectern.operators import hierarchy
 from lectern.plans import corpus
