@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import packing, secrets, sharding, simhash, tokens, toxicity
+from lectern.llm import decontamination, language, packing, secrets, sharding, simhash, tokens, toxicity
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,31 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items of which documents hold 0.8 of the five-word shingles or more."""
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op1_decontamination"] = """
+WITH worded AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM (SELECT DISTINCT doc_id, text FROM documents)
+    UNION ALL
+    SELECT 'i', item_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), shingled AS (
+    SELECT DISTINCT kind, id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS shingle
+    FROM worded WHERE len(w) > 0
+), sizes AS (SELECT id, count(*) AS n_shingles FROM shingled WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_common, n_shingles, count(*) / n_shingles AS containment
+FROM shingled d JOIN shingled i ON d.shingle = i.shingle AND d.kind = 'd' AND i.kind = 'i' JOIN sizes s ON s.id = i.id
+GROUP BY d.id, i.id, n_shingles HAVING count(*) / n_shingles >= 0.8
+"""
+
+
 @query
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of whole texts from the count at every prefix."""
@@ -66,3 +91,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages by a conditional random field over words."""
+    docs = table(spark, folder, "documents")
+    return language.predict(docs, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")

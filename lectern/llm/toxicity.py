@@ -73,7 +73,7 @@ def evidence(text: str | None, model: Model) -> tuple[float, int, list[tuple[int
 
 
 def probability(best: float, model: Model) -> float:
-    return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, model.bias + model.slope * best))))
+    return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, model.bias + model.slope * math.log1p(best)))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: int) -> DataFrame:
@@ -93,16 +93,18 @@ def fit(
     labels: DataFrame,
     sample_rows: int = 20_000,
     vocabulary: int = 20_000,
-    prior: float = 1_000.0,
+    prior_share: float = 0.01,
     least_z: float = 2.5,
+    least_odds: float = 3.0,
     seed: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
     """Token weights, drift, extreme-value constants and the logistic curve.
 
+    The Dirichlet prior weighs ``prior_share`` of the sample's tokens and follows their counts.
     Learns from a bounded sample of labelled rows (``sample_rows``); at most ``vocabulary``
-    weights, those with the largest z. Without two classes the model finds nothing.
+    weights, those with the largest z, each of at least ``least_odds`` in log-odds. Without two classes the model finds nothing.
     """
     sample = labelled_sample(id_and_text(docs, id_col, text_col), labels, sample_rows, seed)
 
@@ -122,17 +124,17 @@ def fit(
     if not n0 or not n1:
         counts.unpersist()
         return Model()
-    alpha = F.lit(prior) * (F.col("n0") + F.col("n1")) / F.lit(float(n0 + n1)) + 0.01
+    prior = prior_share * (n0 + n1)
+    alpha = F.lit(prior_share) * (F.col("n0") + F.col("n1")) + 0.05
     odds = lambda n, all_n: F.log((F.col(n) + alpha) / (F.lit(float(all_n) + prior) - F.col(n) - alpha))
     delta = odds("n1", n1) - odds("n0", n0)
     z = delta / F.sqrt(1 / (F.col("n1") + alpha) + 1 / (F.col("n0") + alpha))
-    scored = counts.select("token", "n0", "n1", delta.alias("w"), z.alias("z")).filter((F.col("z") >= least_z) & (F.col("w") > 0))
+    scored = counts.select("token", "n0", "n1", delta.alias("w"), z.alias("z")).filter((F.col("z") >= least_z) & (F.col("w") >= least_odds))
     top = scored.orderBy(F.desc("z"), "token").limit(vocabulary).collect()
     counts.unpersist()
     model = Model(weights={r["token"]: r["w"] for r in top})
     clean = sum(r["n0"] * r["w"] for r in top) / n0
-    toxic = sum(r["n1"] * r["w"] for r in top) / n1
-    model.drift = max(1e-4, (clean + toxic) / 2)
+    model.drift = max(0.01, 2 * clean)  # scores fall on average in the other class
     # The rate solves E[exp(rate * score)] = 1 over tokens of the other class.
     shares = np.array([r["n0"] / n0 for r in top]) + 0.5 / n0
     values = np.array([r["w"] for r in top])
@@ -163,7 +165,7 @@ def fit(
     chance = sum(c * math.exp(-e) for e, c in others) / max(1, sum(c for _, c in others))
     shift = -math.log(max(chance, 1e-6))
     model.constant = math.exp(-shift) if chance < 1 else 1.0
-    moved = [(r["y"], max(0.0, r["e"] + (shift if r["e"] else 0.0)), r["count"]) for r in rows]
+    moved = [(r["y"], math.log1p(max(0.0, r["e"] + (shift if r["e"] else 0.0))), r["count"]) for r in rows]
     model.bias, model.slope = logistic(moved)
     return model
 
