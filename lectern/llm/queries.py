@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontamination, language, packing, secrets, sharding, simhash, tokens, toxicity
+from lectern.llm import decontamination, language, packing, repeats, secrets, sharding, simhash, tokens, toxicity
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes within repeated strings of 200 bytes removed from every document."""
+    return repeats.remove_repeats(table(spark, folder, "documents"), length=200)
+
+
 @query
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash of three-word shingles, linked at two differing bits or fewer."""
