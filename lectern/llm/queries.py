@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontamination, language, packing, repeats, secrets, sharding, simhash, tokens, toxicity
+from lectern.llm import decontamination, language, neighbours, packing, repeats, secrets, sharding, simhash, tokens, toxicity
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,12 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed into sequences of 1,024 tokens, balanced by cost."""
