@@ -169,3 +169,15 @@ def replaced(text: str | None, spans: list[tuple[int, int, str]], by: str) -> st
             out += [text[at:start], by]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, model: MarkovRatio | None, by: str, least_ratio: float = 12.0, text_col: str = "text") -> DataFrame:
+    """All documents, every secret in their texts replaced; other columns as they are."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = [replaced(t, all_spans(t or "", model, least_ratio)[1], by) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window as W
 
 from lectern.llm.common import parts_for, schema_of
 from lectern.llm.components import connected_components
@@ -203,11 +204,50 @@ def near_duplicates(
     table none; other columns are left out.
     """
     made = cut_lineage(fingerprints(docs, width, bits, seed, id_col, text_col))
+    labelled = grouped(made, lambda n: agreeing_bits(bits, radius, radius + 4) if miss is None else sampled_bits(bits, radius, n, miss), radius)
+    groups = labelled.groupBy("__group").agg(F.min("__least").alias("component_id"))
+    return made.join(labelled.join(groups, "__group").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def grouped(made: DataFrame, choose, radius: int) -> DataFrame:
+    """``fingerprint, __least, __group``: each distinct fingerprint, its least id and its component."""
     distinct = cut_lineage(made.groupBy("fingerprint").agg(F.min("doc_id").alias("__least")))
     n = distinct.count()
-    choices = agreeing_bits(bits, radius, radius + 4) if miss is None else sampled_bits(bits, radius, n, miss)
-    found = connected_components(near_links(distinct, choices, radius, n))
+    found = connected_components(near_links(distinct, choose(n), radius, n))
     labelled = distinct.join(found, F.col("fingerprint") == F.col("node"), "left")
-    labelled = labelled.select("fingerprint", "__least", F.coalesce("component", "fingerprint").alias("__group"))
-    groups = labelled.groupBy("__group").agg(F.min("__least").alias("component_id"))
-    return made.join(labelled.join(groups, "__group").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return cut_lineage(labelled.select("fingerprint", "__least", F.coalesce("component", "fingerprint").alias("__group")))
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of texts whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def one_of_each(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 256, miss: float = 0.02, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One document of each group of near copies, with all its columns: the one of the least id.
+
+    Texts are linked if their fingerprints of ``width``-word shingles differ in no more bits
+    than those of texts at Jaccard ``similarity`` do, with two standard deviations of room. A
+    pair at that similarity is missed with chance ``miss`` at most by the bucket search.
+    Null ids come last; of rows that repeat an id and text one stays. Texts without words are
+    one group.
+    """
+    share = differing_share(similarity)
+    radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    schema = T.StructType([*docs.schema, T.StructField("__print", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            made = [fingerprint(t.encode() if t is not None else None, width, bits, seed) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "__print"])
+
+    printed = cut_lineage(docs.mapInArrow(run, schema))
+    made = printed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("__print").alias("fingerprint"))
+    labelled = grouped(made, lambda n: sampled_bits(bits, round(bits * share), n, miss), radius)
+    order = F.struct(F.col("__least").isNull().alias("none"), "__least", F.col("fingerprint").alias("__print"))
+    chosen = labelled.groupBy("__group").agg(F.min(order).alias("c")).select("c.__print", "c.__least")
+    kept = printed.join(chosen, "__print").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("__least")))
+    first = F.row_number().over(W.partitionBy("__print").orderBy(F.length(f"`{text_col}`"), f"`{text_col}`"))
+    return kept.withColumn("__place", first).filter("__place = 1").select([F.col(f"`{c}`") for c in docs.columns])

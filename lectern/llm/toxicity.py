@@ -213,3 +213,14 @@ def score(docs: DataFrame, model: Model, least_evidence: float = 3.0, id_col: st
     return scored.select(
         "doc_id", (F.pmod(id_crc(), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages"
     )
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents whose prediction is 0, with all their columns."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([probability(evidence(t, model)[0], model) < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
