@@ -229,13 +229,13 @@ def one_of_each(
     """One document of each group of near copies, with all its columns: the one of the least id.
 
     Texts are linked if their fingerprints of ``width``-word shingles differ in no more bits
-    than those of texts at Jaccard ``similarity`` do, with two standard deviations of room. A
+    than those of texts at Jaccard ``similarity`` do, with 1.5 standard deviations of room. A
     pair at that similarity is missed with chance ``miss`` at most by the bucket search.
     Null ids come last; of rows that repeat an id and text one stays. Texts without words are
     one group.
     """
     share = differing_share(similarity)
-    radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    radius = int(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
     schema = T.StructType([*docs.schema, T.StructField("__print", T.BinaryType())])
 
     def run(batches):
