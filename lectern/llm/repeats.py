@@ -31,9 +31,11 @@ from lectern.session import cut_lineage
 GRAM = 32
 SEGMENT = 1 << 19
 #: An anchor with more contexts is gathered by the bytes that ``STEP`` neighbouring windows share.
-CROWDED = 20_000
+CROWDED = 2_000
 STEP = 8
 CONTEXTS_A_TASK = 8_000
+#: Contexts are compared in blocks of about so many bytes, whole anchors at a time.
+BLOCK_BYTES = 1 << 20
 
 _table = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _steps = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -125,6 +127,21 @@ def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
 
 
+def block_repeats(raw: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last) of the runs of repeated windows in a block of contexts with ``n`` windows each."""
+    block = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    offsets = np.cumsum([0, *map(len, raw)])[:-1]
+    owner = np.repeat(np.arange(len(n)), n)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    starts = offsets[owner] + within
+    previous, following = factor_flags(suffix_ranks(block, starts, length), starts)
+    hit = np.flatnonzero(previous | following)
+    if not len(hit):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    first, last = runs(owner[hit].astype(np.int64) * (1 << 32) + within[hit])
+    return first >> 32, first & 0xFFFFFFFF, last & 0xFFFFFFFF
+
+
 def text_keys(text: Column) -> list[Column]:
     """Two digests that tell texts apart: 96 bits."""
     return [F.xxhash64(text).alias("k1"), (F.crc32(text) - (1 << 31)).cast("int").alias("k2")]
@@ -191,20 +208,35 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
         k1, k2, first, n, g = (columns[c][order] for c in ("k1", "k2", "first", "n", "g"))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (g[1:] != g[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (first[1:] != first[:-1])
-        order, k1, k2, first, n = order[new], k1[new], k2[new], first[new], n[new].astype(np.int64)
+        order, g, k1, k2, first, n = order[new], g[new], k1[new], k2[new], first[new], n[new].astype(np.int64)
         raw = rows.column("bytes").take(pa.array(order)).to_pylist()
-        block = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        offsets = np.cumsum([0, *map(len, raw)])[:-1]
-        owner = np.repeat(np.arange(len(n)), n)
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        starts = offsets[owner] + within
-        previous, following = factor_flags(suffix_ranks(block, starts, length), starts)
-        hit = np.flatnonzero(previous | following)
-        if not len(hit):
-            return pa.table({"k1": pa.array([], pa.int64()), "k2": pa.array([], pa.int32()), "first": pa.array([], pa.int32()), "last": pa.array([], pa.int32())})
-        a, b = runs(owner[hit].astype(np.int64) * (1 << 32) + within[hit])
-        who, a, b = a >> 32, a & 0xFFFFFFFF, b & 0xFFFFFFFF
-        return pa.table({"k1": k1[who], "k2": pa.array(k2[who], pa.int32()), "first": pa.array(first[who] + a, pa.int32()), "last": pa.array(first[who] + b, pa.int32())})
+        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        who, low, high, batch, size = [], [], [], [], 0
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            # Equal contexts are repeats of each other throughout; one of them stands for all in the block.
+            same: dict[bytes, list[int]] = {}
+            for i in range(a, b):
+                same.setdefault(raw[i], []).append(i)
+            for members in same.values():
+                if len(members) > 1:
+                    who += members
+                    low += [0] * len(members)
+                    high += [int(n[i]) - 1 for i in members]
+                batch.append(members[0])
+                size += len(raw[members[0]])
+            if batch and (size >= BLOCK_BYTES or b == len(g)):
+                for column, found in zip((who, low, high), block_repeats([raw[i] for i in batch], n[batch], length)):
+                    column += np.array(batch)[found].tolist() if column is who else found.tolist()
+                batch, size = [], 0
+        who = np.array(who, dtype=np.int64)
+        return pa.table(
+            {
+                "k1": pa.array(k1[who], pa.int64()),
+                "k2": pa.array(k2[who], pa.int32()),
+                "first": pa.array(first[who] + np.array(low, dtype=np.int64), pa.int32()),
+                "last": pa.array(first[who] + np.array(high, dtype=np.int64), pa.int32()),
+            }
+        )
 
     compared = pieces.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(tasks))).groupBy("part").applyInArrow(compare, "k1 long, k2 int, first int, last int")
     every = alike.union(compared).select("k1", "k2", F.struct("first", (F.col("last") + length).alias("end")).alias("range"))
