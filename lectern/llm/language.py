@@ -194,7 +194,7 @@ def posteriors(unary: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -
 class Labeller:
     def __init__(self, model: Field):
         self.model = model
-        self.transition = np.exp(model.transitions - model.transitions.max()).astype(np.float32)
+        self.transition = np.exp(model.transitions - model.transitions.max(initial=0.0)).astype(np.float32)
         self.known: dict[str, int] = {}
         self.unary = np.zeros((KEPT + 1, len(model.languages)), dtype=np.float32)
 

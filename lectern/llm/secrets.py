@@ -55,12 +55,18 @@ def random_strings(n: int, seed: int) -> list[str]:
     return ["".join(draw.choice(list(kinds[i % len(kinds)]), size=40)) for i in range(n)]
 
 
+def log_transitions(counts: np.ndarray, smoothing: float) -> np.ndarray:
+    """Log probabilities of the next character, smoothed towards how often each follows at all."""
+    overall = counts.sum(0) + 1e-3 * counts.sum() / SIDE + 1e-3
+    overall = overall / overall.sum()
+    return np.log((counts + smoothing * overall) / (counts.sum(1, keepdims=True) + smoothing))
+
+
 class MarkovRatio:
     """Log-likelihood ratio of a string under the two models."""
 
-    def __init__(self, random: np.ndarray, ordinary: np.ndarray, smoothing: float = 0.5):
-        a, b = random + smoothing, ordinary + smoothing
-        self.weights = np.log(a / a.sum(1, keepdims=True)) - np.log(b / b.sum(1, keepdims=True))
+    def __init__(self, random: np.ndarray, ordinary: np.ndarray, smoothing: float = 5.0):
+        self.weights = log_transitions(random, smoothing) - log_transitions(ordinary, smoothing)
 
     def score(self, text: str) -> float:
         codes = CODE[np.frombuffer(text.encode("ascii"), dtype=np.uint8)]
