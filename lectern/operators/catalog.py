@@ -32,20 +32,21 @@ def catalogue(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
 
     ``tables`` maps a name to the frame and its level (word, sentence, reader ...).
     """
-    rows = reduce(DataFrame.unionByName, [column_profile(df, name).withColumn("level", F.lit(level)) for name, (df, level) in tables.items()])
-    name = F.col("feature_name")
-    is_id, is_text = name.rlike(r"_id$|_key$"), name.rlike(r"^word_form$|_text$")
-    return rows.withColumns(
-        {
-            "units": names.by_rules(name, names.UNIT_RULES, "unitless"),
-            "transformation": names.by_rules(name, names.TRANSFORM_RULES, "none"),
-            "missing_value_policy": names.by_rules(name, names.MISSING_RULES, "kept missing"),
-            "expected_direction": names.by_rules(name, names.DIRECTION_RULES, "not specified"),
-            "participant_specific": name.rlike(r"^participant_|^mean_|^median_") | name.isin(*LEAKAGE_COLUMNS),
-            "allowed_in_predictive_models": ~(is_id | is_text | name.isin(*LEAKAGE_COLUMNS) | name.rlike("alignment_error|source_observation_count")),
-            "allowed_in_mixed_effects": ~(is_id | is_text | name.rlike("alignment_error|^embedding_")),
-        }
-    )
+    return reduce(DataFrame.unionByName, [described(df, name, level) for name, (df, level) in tables.items()])
+
+
+def described(df: DataFrame, table: str, level: str) -> DataFrame:
+    """One table's columns with what their measures declare."""
+    facts = []
+    for c in df.columns:
+        m = names.measure_of(c)
+        label = m is names.KEY or c in LEAKAGE_COLUMNS or dict(df.dtypes)[c] == "string"
+        reader = level == "reader" or c in LEAKAGE_COLUMNS
+        facts.append((c, m.units, ", ".join(names.statistics_of(c)) or "none", m.missing, m.reading, reader, not label, m is not names.KEY))
+    fields = ("units", "transformation", "missing_value_policy", "expected_direction", "participant_specific", "allowed_in_predictive_models", "allowed_in_mixed_effects")
+    known = F.create_map(*[x for f in facts for x in (F.lit(f[0]), F.struct(*[F.lit(v).alias(k) for k, v in zip(fields, f[1:])]))])
+    rows = column_profile(df, table).withColumns({"level": F.lit(level), "__facts": known[F.col("feature_name")]})
+    return rows.select("*", "__facts.*").drop("__facts")
 
 
 def reader_feature_groups(columns: Sequence[str]) -> dict[str, list[str]]:
@@ -88,7 +89,7 @@ def feature_group_metadata(profiles: DataFrame, groups: Mapping[str, Sequence[st
     exposure = name.isin(*names.EXPOSURE_ONLY, *names.EXPOSURE_COUNTS)
     return rows.withColumns(
         {
-            "feature_family": names.feature_family(name),
+            "feature_family": names.feature_family(name, profiles.columns),
             "could_encode_text_assignment": exposure,
             "allowed_in_primary_model": F.col("feature_group").isin(*PRIMARY_GROUPS) & ~exposure & ~name.isin(*LEAKAGE_COLUMNS),
         }

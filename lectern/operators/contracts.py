@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions.hashing import md5_int
+from lectern.functions.names import EXPOSURE_COUNTS  # noqa: F401
 
 
 def _named(check: str, df: DataFrame) -> DataFrame:
@@ -104,7 +105,6 @@ def assert_safe_feature_sets(feature_sets: Mapping[str, Sequence[str]], forbidde
 
 # Columns that must never be predictors.
 LEAKAGE_COLUMNS = ("reader_group", "reader_group_binary", "dyslexia_labeled", "group_label", "participant_id", "label")
-EXPOSURE_COUNTS = ("word_observation_count", "n_speeches", "n_texts", "n_word_rows", "n_words_read")
 
 
 def within_tolerance(observed: Column, locked: Column, tolerance: float) -> Column:

@@ -10,7 +10,8 @@ and add them back:
     local window  join  running summaries  on (key, chunk)
 
 ``chunk`` must not decrease along ``order`` inside a key, e.g. an integer order
-column divided by the chunk size. Keys and chunks must not be null. Without a
+column divided by the chunk size. Null keys and null chunks count as values, the first in
+order, and no row is dropped. Without a
 ``chunk`` a plain window is used: right when groups are known to be small.
 """
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of one chunk when the order column counts rows.
@@ -85,7 +88,10 @@ def ordered_features(
     inner |= {f"__in_{k}": F.coalesce(F.sum(v).over(local_before), F.lit(0)) for k, v in running.items()}
     inner |= {f"__lag_{k}": F.lag(F.struct(v)).over(local) for k, v in previous.items()}
     inner |= {f"__lead_{k}": F.lead(F.struct(v)).over(local) for k, v in following.items()}
-    joined = (rows.withColumns(inner) if inner else rows).join(offsets, [*keys, _CHUNK])
+    # Null keys, chunks and order values are values like others: first in order, and kept by the join.
+    by = {k: f"__by_{i}" for i, k in enumerate([*keys, _CHUNK])}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in by.items()])
+    joined = (rows.withColumns(inner) if inner else rows).join(offsets.withColumnsRenamed(by), same)
 
     result: list[Column] = [F.col(c) for c in df.columns]
     if index:

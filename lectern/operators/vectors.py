@@ -41,10 +41,15 @@ def previous_distance(
     return placed.withColumn(out, cosine_distance(F.col(vector), F.col("__before"))).drop("__before", "__all")
 
 
-def centroids(df: DataFrame, unit: str, vector: str, dimensions: int) -> DataFrame:
-    """Mean vector per unit: per-coordinate averages combine map-side."""
-    means = [F.avg(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(dimensions)]
-    return df.groupBy(unit).agg(F.array(*means).alias("centroid"))
+def centroids(df: DataFrame, unit: str, vector: str) -> DataFrame:
+    """Mean vector per unit over all coordinates: averages combine map-side.
+
+    A coordinate's mean is over the vectors that have it; a null unit is a unit.
+    """
+    cells = df.select(unit, F.posexplode(vector).alias("__at", "__x"))
+    means = cells.groupBy(unit, "__at").agg(F.avg(F.col("__x").cast("double")).alias("__x"))
+    ordered = F.sort_array(F.collect_list(F.struct("__at", "__x")))
+    return means.groupBy(unit).agg(F.transform(ordered, lambda c: c["__x"]).alias("centroid"))
 
 
 def unit_distance(df: DataFrame, units: DataFrame, unit: str, vector: str, unit_vector: str, out: str = "distance_to_unit") -> DataFrame:

@@ -398,7 +398,7 @@ def paragraph_cohesion(t: Tables):
 def distance_to_paragraph(t: Tables):
     """Distance of each vector to its paragraph's centroid."""
     seq = vector_sequence(t)
-    means = vectors.centroids(seq, "paragraph_id", "embedding", 64)
+    means = vectors.centroids(seq, "paragraph_id", "embedding")
     return vectors.unit_distance(seq, means, "paragraph_id", "embedding", "centroid").select("vec_id", "paragraph_id", "distance_to_unit")
 
 

@@ -37,7 +37,7 @@ def feature_families(t: Tables):
     """Family of reader features from their names, with completeness."""
     rows = panel.reader_aggregates(panels.word_level(t)).select(*_FAM)
     found = catalog.column_profile(rows, "readers")
-    return found.select("feature_name", "rows", "missing", names.feature_family("feature_name").alias("feature_family"))
+    return found.select("feature_name", "rows", "missing", names.feature_family("feature_name", rows.columns).alias("feature_family"))
 
 
 def reader_profiles(t: Tables):
@@ -92,7 +92,8 @@ _CAND = f"""WITH {PRED}, {metric_sql('pred', 'model')}, cand AS (SELECT CASE mod
 def candidates(t: Tables):
     found = metrics.binary_metrics(predictions.reader_scores(t), ["model"])
     name = F.when(F.col("model") == 0, "primary").when(F.col("model") == 1, "primary_calibrated").otherwise("stable_only")
-    return found.select(name.alias("candidate"), (F.col("model") + 3).alias("n_features"), "roc_auc", F.lit("passed").alias("decision_gate_status"))
+    kind = F.when(F.col("model") == 0, "primary").when(F.col("model") == 1, "recalibrated").otherwise("subset")
+    return found.select(name.alias("candidate"), kind.alias("kind"), (F.col("model") + 3).alias("n_features"), "roc_auc", F.lit("passed").alias("decision_gate_status"))
 
 
 @query(
@@ -103,7 +104,7 @@ def candidates(t: Tables):
 )
 def candidate_ranking(t: Tables):
     """Candidates ranked by gate, complexity and AUC."""
-    return reports.rank_candidates(candidates(t), "primary")
+    return reports.rank_candidates(candidates(t), "kind", {"primary": 0, "subset": 2, "recalibrated": 10}, "primary")
 
 
 @query(

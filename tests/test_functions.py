@@ -91,3 +91,18 @@ def test_nan_becomes_null(spark):
 def test_cosine_of_zero_vector_is_null(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(numeric.cosine_distance(F.col("a"), F.col("b"))).collect()] == [1.0, None]
+
+
+def test_measures_are_read_from_declared_names():
+    from lectern.functions import names
+
+    assert names.measure_of("mean_trt").units == "ms" and names.statistics_of("trt_q90") == ["upper decile"]
+    assert names.measure_of("word_id") is names.KEY and names.measure_of("colour") is names.UNDECLARED
+    assert names.family_of("crossfit_trt_mean") == "residual_gaze" and names.family_of("total_word_rows") == "exposure_count"
+
+
+def test_centroids_use_all_coordinates(spark):
+    from lectern.operators import vectors
+
+    df = spark.createDataFrame([("a", [1.0, 2.0, 3.0, 4.0]), ("a", [3.0, 2.0, 1.0, 0.0])], "u string, v array<double>")
+    assert vectors.centroids(df, "u", "v").first()["centroid"] == [2.0, 2.0, 2.0, 2.0]
