@@ -64,7 +64,7 @@ def test_chunks_keep_null_keys_and_order_values(spark):
     rows = [("a", 1, 1.0), ("a", None, 2.0), (None, 5, 3.0), (None, None, 4.0), ("a", 70, 5.0)]
     df = spark.createDataFrame(rows, "k string, o int, v double")
     options = {"index": "i", "size": "n", "running": {"before": "v"}}
-    plain = ordered_features(df, ["k"], ["o"], **options)
-    chunked = ordered_features(df, ["k"], ["o"], chunk=F.floor(F.col("o") / 10), **options)
+    plain = sequence.ordered_features(df, ["k"], ["o"], **options)
+    chunked = sequence.ordered_features(df, ["k"], ["o"], chunk=F.floor(F.col("o") / 10), **options)
     order = lambda d: sorted((tuple(r[c] for c in plain.columns) for r in d.collect()), key=repr)
     assert order(chunked) == order(plain) and chunked.count() == 5
