@@ -12,8 +12,10 @@ comparing:
   the next smaller place of a suffix give its longest previous and next factor; a window is
   repeated if either reaches the window length.
 
-Anchors that very many contexts share are gathered by a longer part of the window, so that no
-task gets an unbounded group. Copies of a whole text stand for each other.
+Anchors that very many contexts share are gathered by a longer part of the window. Where even
+that part is in very many places, its windows are told apart by digest and counted, in an
+aggregate that combines before it shuffles: no task gets an unbounded group. Copies of a whole
+text stand for each other.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SEGMENT = 1 << 19
 CROWDED = 2_000
 STEP = 8
 CONTEXTS_A_TASK = 8_000
+#: Windows that very many places share are dealt over so many salts.
+SALTS = 16
 #: Contexts are compared in blocks of about so many bytes, whole anchors at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -147,6 +151,21 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), (F.crc32(text) - (1 << 31)).cast("int").alias("k2")]
 
 
+def counted_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """``k1, k2, first, last`` (one window a row) of the windows of ``pieces`` that occur more than once.
+
+    Equal windows have equal digests of 96 bits. Rows of equal texts may count twice, which
+    changes nothing: such texts are repeats throughout.
+    """
+    window = F.col("bytes").substr(F.col("i") + 1, F.lit(length))
+    each = pieces.select("g", "k1", "k2", "first", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    each = each.select("g", F.xxhash64(window).alias("w1"), F.crc32(window).alias("w2"), "k1", "k2", (F.col("first") + F.col("i")).alias("at"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("k1", "at"), F.lit(SALTS)).cast("int"))
+    again = each.groupBy("g", "w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    again = again.select("g", "w1", "w2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return each.join(again, ["g", "w1", "w2", "salt"], "left_semi").select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last"))
+
+
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """``k1, k2, ranges``: for each distinct text the byte ranges that repeated windows cover."""
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).filter(F.length("text") >= length)
@@ -199,8 +218,11 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["g", "k1", "k2", "first", "n", "bytes"])
 
-    pieces = cut_lineage(gathered.mapInArrow(contexts, "g long, k1 long, k2 int, first int, n int, bytes binary"))
-    tasks = max(1, -(-pieces.count() // CONTEXTS_A_TASK))
+    made = cut_lineage(gathered.mapInArrow(contexts, "g long, k1 long, k2 int, first int, n int, bytes binary"))
+    hot = cut_lineage(made.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWDED).select("g"))
+    pieces = made.join(hot, "g", "left_anti")
+    counted = counted_windows(made.join(hot, "g", "left_semi"), length)
+    tasks = max(1, -(-made.count() // CONTEXTS_A_TASK))
 
     def compare(rows: pa.Table) -> pa.Table:
         columns = {c: rows.column(c).to_numpy() for c in ("g", "k1", "k2", "first", "n")}
@@ -239,7 +261,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
         )
 
     compared = pieces.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(tasks))).groupBy("part").applyInArrow(compare, "k1 long, k2 int, first int, last int")
-    every = alike.union(compared).select("k1", "k2", F.struct("first", (F.col("last") + length).alias("end")).alias("range"))
+    every = alike.union(compared).union(counted).select("k1", "k2", F.struct("first", (F.col("last") + length).alias("end")).alias("range"))
     return every.groupBy("k1", "k2").agg(F.collect_list("range").alias("ranges"))
 
 
