@@ -7,7 +7,8 @@ comparing:
 
 - an anchor that occurs once has no repeated window;
 - if all occurrences of an anchor have one context, all its windows are repeated;
-- the contexts of all other anchors are gathered by anchor. Their suffixes are ordered by
+- contexts that occur more than once are repeated throughout, and one stands for all;
+- the distinct contexts of all other anchors are gathered by anchor. Their suffixes are ordered by
   prefix doubling, cut at the window length. In that order, ties by place, the previous and
   the next smaller place of a suffix give its longest previous and next factor; a window is
   repeated if either reaches the window length.
@@ -185,11 +186,18 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
 
     listed = cut_lineage(texts.mapInArrow(list_anchors, "k1 long, k2 int, h long, context long, place int, first int, last int"))
     shared = listed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
-    shared = shared.filter("n > 1").select("h", (F.col("lo") == F.col("hi")).alias("alike"), (F.col("n") > CROWDED).alias("crowded"))
-    found = cut_lineage(listed.select("k1", "k2", "h", "place", "first", "last").join(shared, "h").distinct())
-    alike = found.filter("alike").select("k1", "k2", "first", "last")
-
-    wanted = found.filter("not alike").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "crowded", "place", "first", "last")).alias("anchors"))
+    shared = shared.filter("n > 1").select("h", (F.col("lo") == F.col("hi")).alias("alike"))
+    found = cut_lineage(listed.join(shared, "h").distinct())
+    ranges = found.filter("alike").select("k1", "k2", "first", "last")
+
+    # Of equal contexts, which are repeats throughout, one stands for all in the comparison.
+    mixed = found.filter("not alike").withColumn("tag", F.xxhash64("k1", "k2", "place"))
+    per = cut_lineage(mixed.groupBy("h", "context").agg(F.count(F.lit(1)).alias("c"), F.min("tag").alias("tag_kept")))
+    crowded = per.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWDED).select("h", F.lit(True).alias("crowded"))
+    judged = cut_lineage(mixed.join(per, ["h", "context"]).select("k1", "k2", "h", "place", "first", "last", "c", (F.col("tag") == F.col("tag_kept")).alias("kept")))
+    ranges = ranges.union(judged.filter("c > 1").select("k1", "k2", "first", "last"))
+    wanted = judged.filter("kept").join(crowded, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "crowded", "place", "first", "last")).alias("anchors"))
     # Of equal texts one is enough: they stand next to each other, or are told apart later by their key.
     gathered = texts.join(wanted, ["k1", "k2"])
 
@@ -261,7 +269,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
         )
 
     compared = pieces.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(tasks))).groupBy("part").applyInArrow(compare, "k1 long, k2 int, first int, last int")
-    every = alike.union(compared).union(counted).select("k1", "k2", F.struct("first", (F.col("last") + length).alias("end")).alias("range"))
+    every = ranges.union(compared).union(counted).select("k1", "k2", F.struct("first", (F.col("last") + length).alias("end")).alias("range"))
     return every.groupBy("k1", "k2").agg(F.collect_list("range").alias("ranges"))
 
 
