@@ -19,10 +19,14 @@ def nfc(words: pd.Series) -> pd.Series:
     return words.fillna("").str.normalize("NFC")
 
 
-def normalize_nfc(value: Column | str) -> Column:
-    """NFC, skipping the Python hop for pure-ASCII text, which is already normalised."""
-    text = F.coalesce(_col(value).cast("string"), F.lit(""))
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(nfc(text))
+def with_nfc(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with the NFC form of a column. Pure-ASCII text is normal already and stays clear of Python.
+
+    The two kinds of rows are separate branches: a ``CASE`` would send every row to Python.
+    """
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    plain = F.octet_length(text) == F.char_length(text)
+    return df.where(plain).withColumn(out, text).unionByName(df.where(~plain).withColumn(out, nfc(text)))
 
 
 def syllables(word: Column | str, vowels: str = fv.VOWELS) -> Column:

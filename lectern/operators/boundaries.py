@@ -23,9 +23,13 @@ def boundary_table(
     chunk: Column | None = None,
     include_initial: bool = True,
     vowels: str = fv.VOWELS,
+    paragraph_start: Column | None = None,
 ) -> DataFrame:
     """One row per word: the boundary to the word before it in its sentence.
 
+    ``paragraph_start`` tells the first word of a paragraph and adds
+    ``is_paragraph_initial_boundary``.
+
     A ``prev_word`` column already on the rows (the tokeniser provides it) is
     used as is; otherwise the neighbour is looked up in order.
     """
@@ -40,6 +44,8 @@ def boundary_table(
         )
     initial = F.col("prev_word_id").isNull()
     labelled = base.withColumn("is_sentence_initial_boundary", initial)
+    if paragraph_start is not None:
+        labelled = labelled.withColumn("is_paragraph_initial_boundary", initial & paragraph_start)
     labelled = add_boundary_columns(labelled, "prev_word", word, "is_sentence_initial_boundary", vowels)
     return labelled if include_initial else labelled.where(~F.col("is_sentence_initial_boundary"))
 
@@ -103,10 +109,13 @@ def top_words_at(boundaries: DataFrame, kind: str = "V#V", k: int = 20) -> DataF
 def examples_per_group(df: DataFrame, group: str, order: str, k: int, columns: Sequence[str]) -> DataFrame:
     """The first k rows of each group in order.
 
-    Spark limits each group inside every task before the shuffle (a rank filter
-    up to 1000 rows), so at most k rows per group and task are ever ranked together.
+    Spark limits each group inside every task before the shuffle for a rank filter
+    up to 1000 rows. A larger k is ranked over salts first, so a task holds a share of
+    a group, and then at most 64 k rows.
     """
     if k > 1000:
-        raise ValueError("examples are for small k")
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(order, *columns), F.lit(64)))
+        first = F.row_number().over(Window.partitionBy(group, "__salt").orderBy(order))
+        df = salted.withColumn("__k", first).where(F.col("__k") <= k).drop("__salt", "__k")
     ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(order)))
     return ranked.where(F.col("__k") <= k).select(*columns)

@@ -272,7 +272,7 @@ def _cluster_meat(held: DataFrame, predictors: Sequence[str], cluster: str):
     return meat, scores
 
 
-def logistic_clustered(df: DataFrame, outcome: str, predictors: Sequence[str], cluster: str, iterations: int = 25) -> DataFrame:
+def logistic_clustered(df: DataFrame, outcome: str, predictors: Sequence[str], cluster: str, iterations: int = 100) -> DataFrame:
     """Binomial GLM with cluster-robust errors: distributed Newton fit, then one sandwich pass."""
     from lectern.functions.numeric import sigmoid
     from lectern.operators.learning import fit_linear_classifiers

@@ -83,10 +83,11 @@ def averaged_scores(df: DataFrame, keys: Sequence[str], unit: str, label: str =
     return df.groupBy(*keys, unit).agg(F.max(label).alias(label), F.avg(score).alias(score))
 
 
-def calibration_line(df: DataFrame, keys: Sequence[str], label: str = "y_true", score: str = "y_score", iterations: int = 25) -> DataFrame:
+def calibration_line(df: DataFrame, keys: Sequence[str], label: str = "y_true", score: str = "y_score", iterations: int = 100) -> DataFrame:
     """Intercept and slope of an unpenalised logistic fit of the label on the score's logit.
 
-    Null below three rows, with one class, or with constant logits.
+    Null below three rows, with one class, with constant logits, or where the scores tell
+    the classes apart for certain, which leaves no finite fit.
     """
     from lectern.operators.learning import fit_linear_classifiers
 
@@ -100,7 +101,7 @@ def calibration_line(df: DataFrame, keys: Sequence[str], label: str = "y_true",
     sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("__pos").alias("w")), F.struct(F.lit(0).alias("y"), F.col("__neg").alias("w"))))
     rows = usable.select(*by, "__x", sides.alias("o")).select(*by, "__x", F.col("o.y").alias("__y"), F.col("o.w").alias("__w")).where("__w > 0")
     fitted = fit_linear_classifiers(rows, by, ["__x"], "__y", weight="__w", penalty=0.0, iterations=iterations)
-    out = size.select(*by).join(fitted, by, "left")
+    out = size.select(*by).join(fitted.where("status = 'converged'"), by, "left")
     return out.select(*keys, F.get("coefficients", F.lit(0)).alias("calibration_intercept"), F.get("coefficients", F.lit(1)).alias("calibration_slope"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.functions.hashing import md5_bucket, md5_hex, md5_int
 from lectern.operators.metrics import binary_metrics
 from lectern.operators.scalars import with_totals
-from lectern.operators.sequence import exact_quantiles, ordered_features
+from lectern.operators.sequence import exact_quantiles, ordered_features, sampled_chunks
 
 
 def _iterations(df: DataFrame, n: int) -> DataFrame:
@@ -52,7 +52,8 @@ def bootstrap_weights(scores: DataFrame, unit: str, iterations: int, seed: int,
     md5(seed, iteration, r) mod n. Counts combine before they meet the scores.
     """
     ids = scores.select(unit, *keep).withColumn("__all", F.lit(1))
-    ranked = ordered_features(ids, ["__all"], [unit], chunk=F.substring(F.col(unit).cast("string"), 1, 4), index="__r", size="__n")
+    placed = sampled_chunks(ids, unit, "__cut")
+    ranked = ordered_features(placed, ["__all"], [unit], chunk=F.col("__cut"), index="__r", size="__n").drop("__cut")
     draws = _iterations(ranked.select("__r", "__n"), iterations).select(
         "iteration", F.pmod(md5_int(F.lit(seed), F.col("iteration"), F.col("__r")), F.col("__n")).alias("__pick")
     )

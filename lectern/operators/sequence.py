@@ -29,6 +29,18 @@ CHUNK_ROWS = 1 << 16
 _CHUNK = "__chunk"
 
 
+def sampled_chunks(df: DataFrame, order: str, name: str, cuts: int = 255) -> DataFrame:
+    """``df`` with a chunk number that follows ``order``, cut at the values of a uniform sample.
+
+    The sample is ``cuts`` rows of least hash, so chunks hold about equally many values
+    however alike they begin; equal values share a chunk, nulls come first.
+    """
+    sample = df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(cuts)
+    packed = sample.agg(F.array_sort(F.collect_list(order)).alias("__edges")).scalar()
+    held = df.withColumn("__edges", packed)
+    return held.withColumn(name, F.size(F.filter("__edges", lambda e: e < F.col(order)))).drop("__edges")
+
+
 def by_rows(order: Column | str, size: int = CHUNK_ROWS) -> Column:
     """Chunk number of a non-negative integer order column."""
     return F.floor((F.col(order) if isinstance(order, str) else order) / size).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.functions.hashing import md5_bucket, md5_hex
 from lectern.operators.participants import exposure_overlap
 from lectern.operators.scalars import with_totals
-from lectern.operators.sequence import ordered_features
+from lectern.operators.sequence import ordered_features, sampled_chunks
 
 
 def _roles(assigned: DataFrame, folds) -> DataFrame:
@@ -50,10 +50,11 @@ def grouped_folds(units: DataFrame, key: str, label: str, k: int = 5, seed: int
 def assign_leave_one_out(units: DataFrame, key: str) -> DataFrame:
     """Fold of each unit = rank of its key. The compact form: train is everyone else.
 
-    Chunked by key prefix, which follows string order.
+    Chunked at sampled keys, so ids that begin alike don't share a task.
     """
     unique = units.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__all", F.lit(1))
-    ranked = ordered_features(unique, ["__all"], [key], chunk=F.substring(key, 1, 4), index="__i", size="__n")
+    placed = sampled_chunks(unique, key, "__cut")
+    ranked = ordered_features(placed, ["__all"], [key], chunk=F.col("__cut"), index="__i", size="__n")
     return ranked.select(key, F.col("__i").cast("int").alias("__fold"), "__n")
 
 

@@ -23,14 +23,16 @@ def labelled(t: Tables):
 @query(
     "p20_w05_boundary_labels",
     with_boundary("""
-SELECT word_id, prev_word_id, prev_word, initial AS is_sentence_initial_boundary, orth_boundary_type, boundary_opacity_score,
+SELECT word_id, prev_word_id, prev_word, initial AS is_sentence_initial_boundary,
+  initial AND row_number() OVER (PARTITION BY paragraph_id ORDER BY s, w) = 1 AS is_paragraph_initial_boundary, orth_boundary_type, boundary_opacity_score,
   boundary_opacity_class, vocoid_run_cross_boundary FROM boundary"""),
 )
 def boundary_labels(t: Tables):
     """Boundary type, score, class and vowel run of every word."""
     words = corpus.words_from_texts(t.documents).drop("prev_word", "next_word", "tokens_in_sentence")
-    return boundaries.boundary_table(words).select(
-        "word_id", "prev_word_id", "prev_word", "is_sentence_initial_boundary", "orth_boundary_type",
+    start = (F.col("s") == 1) & (F.col("w") == 1)  # a line's first piece always holds a token, if any does
+    return boundaries.boundary_table(words, paragraph_start=start).select(
+        "word_id", "prev_word_id", "prev_word", "is_sentence_initial_boundary", "is_paragraph_initial_boundary", "orth_boundary_type",
         "boundary_opacity_score", "boundary_opacity_class", "vocoid_run_cross_boundary",
     )
 

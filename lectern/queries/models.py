@@ -226,14 +226,14 @@ def leave_one_out_logistic(t: Tables):
 def influence_refits(t: Tables):
     """Grouped evaluation refitted without each reader, and the AUC change."""
     readers = reader_table(t)
-    return learning.influence_refits(readers, five_folds(readers, 2), "participant_id", ["mean_trt", "surprisal_sensitivity"], "label", iterations=8)
+    return learning.influence_refits(readers, five_folds(readers, 2), "participant_id", ["mean_trt", "surprisal_sensitivity"], "label")
 
 
 @query("m10_permutation_refits")
 def permutation_refits(t: Tables):
     """Label permutation with the model refitted for every deal."""
     readers = reader_table(t)
-    return learning.permutation_refits(readers, five_folds(readers, 2), "participant_id", ["mean_trt", "surprisal_sensitivity"], "label", permutations=50, iterations=8)
+    return learning.permutation_refits(readers, five_folds(readers, 2), "participant_id", ["mean_trt", "surprisal_sensitivity"], "label", permutations=50)
 
 
 @query("m13_a30_coefficient_stability")
@@ -297,7 +297,7 @@ def family_ladder(t: Tables):
     columns = panel.family_columns(rows, ["gaze", "lm_surprisal_entropy"])
     wide = cut_lineage(panel.wide_mean_sd(rows, ["participant_id"], columns))
     groups = {name: [f"{c}__{s}" for c in panel.family_columns(rows, fs) for s in ("mean", "sd")] for name, fs in families.items()}
-    return learning.ablation_grid(wide, {"participant_grouped_kfold": five_folds(wide, 3)}, "participant_id", groups, "label", ["logistic_regression"], iterations=10)
+    return learning.ablation_grid(wide, {"participant_grouped_kfold": five_folds(wide, 3)}, "participant_id", groups, "label", ["logistic_regression"])
 
 
 @query("m21_word_ladder")
@@ -314,5 +314,5 @@ def word_ladder(t: Tables):
     every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
     rows = complete_rows(t).where("label IS NOT NULL").select("participant_id", "label", *every)
     rows = cut_lineage(rows)
-    scored, _ = learning.cross_validate(rows, five_folds(rows.select("participant_id", "label"), 2), "participant_id", every, "label", groups=sets, iterations=8)
+    scored, _ = learning.cross_validate(rows, five_folds(rows.select("participant_id", "label"), 2), "participant_id", every, "label", groups=sets)
     return metrics.binary_metrics(scored, ["feature_group"])

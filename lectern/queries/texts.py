@@ -192,8 +192,7 @@ def p07(t: Tables):
         F.replace(F.col("word_form"), F.lit("\u00e9"), F.lit("e\u0301")), F.lit("\u00fc"), F.lit("u\u0308")
     )
     forms = vocab(t).select("word_form", decomposed.alias("decomposed"))
-    normalized = tokens.normalize_nfc("decomposed")
-    return forms.withColumn("normalized", normalized).select(
+    return tokens.with_nfc(forms, "decomposed", "normalized").select(
         "word_form",
         "normalized",
         F.length("decomposed").cast("long").alias("decomposed_length"),

@@ -202,3 +202,17 @@ def test_association_model_recovers_slopes(panel):
     out = linear.association_model(df, "y", ["x1", "x2"], "u").toPandas().set_index("term")
     assert np.isclose(out.loc["x1_z", "estimate"], 0.5 * frame.x1.std(), atol=0.15) and out.loc["x1_z", "n_bootstrap"] == 12
     assert out.loc["x1_z", "ci_low"] <= out.loc["x1_z", "ci_high"]
+
+
+def test_status_of_fits(spark):
+    apart = pd.DataFrame({"k": ["a"] * 8 + ["b"] * 8, "x": [-4.0, -3, -2, -1, 1, 2, 3, 4] * 2, "y": [0, 0, 0, 0, 1, 1, 1, 1, 0, 0, 1, 0, 1, 0, 1, 1]})
+    df = spark.createDataFrame(apart)
+    free = learning.fit_linear_classifiers(df, ["k"], ["x"], "y", penalty=0.0)
+    assert {r["k"]: r["status"] for r in free.collect()} == {"a": "separated", "b": "converged"}
+    held = learning.fit_linear_classifiers(df, ["k"], ["x"], "y", penalty=1.0)
+    assert {r["status"] for r in held.collect()} == {"converged"}
+
+
+def test_calibration_of_certain_scores_is_null(spark):
+    df = spark.createDataFrame([(0, 0.1), (0, 0.2), (1, 0.8), (1, 0.9)], "y_true int, y_score double")
+    assert tuple(metrics.calibration_line(df, []).first()) == (None, None)

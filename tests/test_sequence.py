@@ -68,3 +68,10 @@ def test_chunks_keep_null_keys_and_order_values(spark):
     chunked = sequence.ordered_features(df, ["k"], ["o"], chunk=F.floor(F.col("o") / 10), **options)
     order = lambda d: sorted((tuple(r[c] for c in plain.columns) for r in d.collect()), key=repr)
     assert order(chunked) == order(plain) and chunked.count() == 5
+
+
+def test_sampled_chunks_follow_the_order(spark):
+    df = spark.createDataFrame([(f"reader{i:05d}",) for i in range(2000)] + [(None,)], "k string")
+    rows = sorted(((r["k"] or "", r["c"]) for r in sequence.sampled_chunks(df, "k", "c", cuts=63).collect()))
+    chunks = [c for _, c in rows]
+    assert chunks == sorted(chunks) and len(set(chunks)) == 64
