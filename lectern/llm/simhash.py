@@ -5,6 +5,7 @@ In a bucket fingerprints are compared bit-sliced: each bit's plane is stored ver
 plane and its shift by one, two, ... rows differ in one exclusive or for 64 pairs at once,
 carry-save counters add these differences up, and a block of pairs is given up as soon as
 all its counters are beyond the radius. Only links that span a bucket's groups leave it.
+Near copies are such links whose shingle sets were compared exactly.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from lectern.session import cut_lineage
 
 BLOCK_WORDS = 256
 ROWS_A_TASK = 60_000
+#: Where every near pair leaves a task, it gets so many rows, for pairs grow with their square.
+ROWS_A_TASK_OF_PAIRS = 2_000
+#: A node with more links has its shingles dealt over salts, one for so many links.
+LINKS_A_SALT = 100
 
 
 def shingle_hashes(raw: bytes | None, width: int, bits: int, seed: int) -> np.ndarray:
@@ -55,6 +60,14 @@ def fingerprint(raw: bytes | None, width: int = 3, bits: int = 64, seed: int = 4
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
+def set_fingerprint(raw: bytes | None, width: int, bits: int, seed: int) -> bytes:
+    """The fingerprint of the distinct shingles, then a digest that only equal sets share."""
+    hashes = np.unique(np.ascontiguousarray(shingle_hashes(raw, width, bits, seed)).view(f"V{bits // 8}").ravel())
+    rows = hashes.view(np.uint8).reshape(len(hashes), bits // 8)
+    ones = np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(rows)).tobytes() + xxhash.xxh3_128_digest(rows.tobytes(), seed)
+
+
 def fingerprints(docs: DataFrame, width: int, bits: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
@@ -126,13 +139,17 @@ def shifted(words: np.ndarray, lag: int) -> np.ndarray:
     return out
 
 
-def spanning_links(rows: np.ndarray, run: np.ndarray, radius: int) -> np.ndarray:
+def spanning_links(rows: np.ndarray, run: np.ndarray, radius: int, label: np.ndarray | None = None, every: bool = False) -> np.ndarray:
     """Links (row, least row of its group) of all groups that pairs within ``radius`` connect.
 
     ``run`` numbers the buckets; equal numbers stand together, the largest buckets first.
+    With ``label``, the least row of the group each row is in already, the links are near pairs
+    themselves: those that connect groups, or with ``every`` all between different groups.
     """
     n = len(rows)
-    label = np.arange(n)
+    stars = label is None
+    label = np.arange(n) if label is None else label.copy()
+    pairs: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
     sizes = np.bincount(run)
     wide = sizes[run]
     bits = planes(rows)
@@ -145,48 +162,70 @@ def spanning_links(rows: np.ndarray, run: np.ndarray, radius: int) -> np.ndarray
         valid = np.packbits(same, bitorder="little").view("<u8")[:words]
         near = lanes_within(bits[:, :words], shifted(bits[:, : words + lag // 64 + 2], lag)[:, :words], valid, radius)
         at = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
-        if len(at) and (label[at] != label[at + lag]).any():
-            for i in at[label[at] != label[at + lag]].tolist():
+        at = at[label[at] != label[at + lag]]
+        if every:
+            pairs.append(np.stack([at, at + lag], 1))
+        elif len(at):
+            joins = []
+            for i in at.tolist():
                 a, b = i, i + lag
                 while label[a] != a:
                     a = int(label[a])
                 while label[b] != b:
                     b = int(label[b])
+                if a != b:
+                    joins.append((i, i + lag))
                 label[max(a, b)] = min(a, b)
+            if joins:
+                pairs.append(np.array(joins))
             while (label[label] != label).any():
                 label = label[label]
+    if not stars:
+        return np.concatenate(pairs)
     moved = np.flatnonzero(label != np.arange(n))
     return np.stack([moved, label[moved]], 1)
 
 
-def near_links(distinct: DataFrame, choices: list[np.ndarray], radius: int, n: int) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints that connect all pairs found within the radius."""
+def near_links(distinct: DataFrame, choices: list[np.ndarray], radius: int, n: int, bits: int, pairs: str = "", turn: int = 0) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints that connect all pairs found within the radius.
+
+    What follows the first ``bits`` bits of a fingerprint only tells it from others. With
+    ``pairs`` "spanning" or "every", ``distinct`` also has ``group``, and the links are near
+    pairs of different groups, as many as connect them (which ones, changes with ``turn``) or all.
+    """
+    columns = ["fingerprint", "group"] if pairs else ["fingerprint"]
+
+    def matrix(made: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(made), dtype=np.uint8).reshape(len(made), -1)[:, : bits // 8]
 
     def keyed(batches):
         for batch in batches:
-            made = batch.column("fingerprint").to_pylist()
-            bits = np.unpackbits(np.frombuffer(b"".join(made), dtype=np.uint8).reshape(len(made), -1), axis=1).astype(np.int64)
+            held = np.unpackbits(matrix(batch.column("fingerprint").to_pylist()), axis=1).astype(np.int64)
             for k, chosen in enumerate(choices):
-                keys = (bits[:, chosen] @ (1 << np.arange(len(chosen), dtype=np.int64))) * len(choices) + k
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("fingerprint")], ["key", "fingerprint"])
+                keys = (held[:, chosen] @ (1 << np.arange(len(chosen), dtype=np.int64))) * len(choices) + k
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[batch.column(c) for c in columns]], ["key", *columns])
 
     def compare(rows: pa.Table) -> pa.Table:
         key = rows.column("key").to_numpy()
         _, run, sizes = np.unique(key, return_inverse=True, return_counts=True)
-        order = np.lexsort((run, -sizes[run]))
+        order = np.lexsort((np.random.default_rng(turn).permutation(len(run)), run, -sizes[run]))
         order = order[sizes[run[order]] > 1]
         if not len(order):
             return pa.table({k: pa.array([], pa.binary()) for k in "ab"})
         made = rows.column("fingerprint").take(pa.array(order)).to_pylist()
-        prints = np.frombuffer(b"".join(made), dtype=np.uint8).reshape(len(made), -1)
         run = np.cumsum(np.concatenate([[0], np.diff(run[order]) != 0]))
-        found = spanning_links(prints, run, radius)
+        label = None
+        if pairs:
+            first: dict[tuple, int] = {}
+            label = np.array([first.setdefault((r, g), i) for i, (r, g) in enumerate(zip(run.tolist(), rows.column("group").take(pa.array(order)).to_pylist()))])
+        found = spanning_links(matrix(made), run, radius, label, pairs == "every")
         return pa.table({k: pa.array([made[i] for i in found[:, c]], pa.binary()) for c, k in enumerate("ab")})
 
-    tasks = parts_for(n * len(choices), ROWS_A_TASK)
-    rows = distinct.select("fingerprint").mapInArrow(keyed, "key long, fingerprint binary")
+    tasks = parts_for(n * len(choices), ROWS_A_TASK_OF_PAIRS if pairs == "every" else ROWS_A_TASK)
+    rows = distinct.select(*columns).mapInArrow(keyed, "key long, " + ", ".join(f"{c} binary" for c in columns))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    return rows.groupBy("part").applyInArrow(compare, "a binary, b binary").distinct()
+    links = rows.groupBy("part").applyInArrow(compare, "a binary, b binary")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -204,16 +243,16 @@ def near_duplicates(
     table none; other columns are left out.
     """
     made = cut_lineage(fingerprints(docs, width, bits, seed, id_col, text_col))
-    labelled = grouped(made, lambda n: agreeing_bits(bits, radius, radius + 4) if miss is None else sampled_bits(bits, radius, n, miss), radius)
+    labelled = grouped(made, lambda n: agreeing_bits(bits, radius, radius + 4) if miss is None else sampled_bits(bits, radius, n, miss), radius, bits)
     groups = labelled.groupBy("__group").agg(F.min("__least").alias("component_id"))
     return made.join(labelled.join(groups, "__group").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def grouped(made: DataFrame, choose, radius: int) -> DataFrame:
+def grouped(made: DataFrame, choose, radius: int, bits: int) -> DataFrame:
     """``fingerprint, __least, __group``: each distinct fingerprint, its least id and its component."""
     distinct = cut_lineage(made.groupBy("fingerprint").agg(F.min("doc_id").alias("__least")))
     n = distinct.count()
-    found = connected_components(near_links(distinct, choose(n), radius, n))
+    found = connected_components(near_links(distinct, choose(n), radius, n, bits))
     labelled = distinct.join(found, F.col("fingerprint") == F.col("node"), "left")
     return cut_lineage(labelled.select("fingerprint", "__least", F.coalesce("component", "fingerprint").alias("__group")))
 
@@ -223,29 +262,103 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
+    """The links ``a, b`` whose texts' sets of shingles have at least this Jaccard similarity.
+
+    ``texts`` has a ``text`` for each ``fingerprint``. A node's set is sent once for every
+    ``LINKS_A_SALT`` of its links, so a node with very many is not one task.
+    """
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    shares = F.ceil(F.count(F.lit(1)) / F.lit(LINKS_A_SALT)).cast("int").alias("n_salts")
+    nodes = cut_lineage(ends.groupBy("node").agg(shares))
+    crowded = cut_lineage(nodes.filter("n_salts > 1"))
+
+    def hashed(batches):
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t.encode() if t is not None else None, width, 64, seed).view(np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_salts"), pa.array(made, pa.binary())], ["node", "n_salts", "held"])
+
+    texts = texts.join(nodes, F.col("fingerprint") == F.col("node")).select("node", "n_salts", "text")
+    sets = texts.mapInArrow(hashed, "node binary, n_salts int, held binary")
+    sets = cut_lineage(sets.select("node", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"), "held"))
+    rows = links
+    for end, other in ("ab", "ba"):
+        few = crowded.select(F.col("node").alias(end), F.col("n_salts").alias(f"{end}_salts"))
+        salt = F.pmod(F.xxhash64(other), F.coalesce(F.col(f"{end}_salts"), F.lit(1))).cast("int")
+        rows = rows.join(few, end, "left").withColumn(f"{end}_salt", salt).drop(f"{end}_salts")
+    for end in "ab":
+        rows = rows.join(sets.select(F.col("node").alias(end), F.col("salt").alias(f"{end}_salt"), F.col("held").alias(f"{end}_held")), [end, f"{end}_salt"])
+
+    def verify(batches):
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column("a_held"), batch.column("b_held")):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(kept, pa.bool_())) for k in "ab"], ["a", "b"])
+
+    return rows.select("a", "b", "a_held", "b_held").mapInArrow(verify, "a binary, b binary")
+
+
+def similar_groups(texts: DataFrame, choose, radius: int, bits: int, width: int, similarity: float, seed: int) -> DataFrame:
+    """``fingerprint, group`` of all nodes that have a link verified; the group is its least node.
+
+    First the links that connect what is within the radius are verified. Where one fails,
+    others may still connect its ends: its component is searched again with what is verified
+    as groups, through other links as long as most of them hold, and at last through every
+    near pair of different groups. So each pair found is verified, or its ends are connected.
+    """
+    nodes = texts.select("fingerprint", F.col("fingerprint").alias("group"))
+    n = nodes.count()
+    choices, pairs, turn, good = choose(n), "spanning", 0, None
+    live = nodes
+    while True:
+        found = cut_lineage(near_links(live, choices, radius, n, bits, pairs, turn))
+        new = cut_lineage(similar_links(found, texts, width, similarity, seed))
+        good = new if good is None else cut_lineage(good.union(new))
+        n_found, n_new = found.count(), new.count()
+        groups = cut_lineage(connected_components(good).select(F.col("node").alias("fingerprint"), F.col("component").alias("group")))
+        if n_new == n_found and not turn or pairs == "every" or not n_found:
+            return groups
+        if not turn:
+            loose = cut_lineage(connected_components(found))
+            failed = found.join(new, ["a", "b"], "left_anti").select(F.col("a").alias("node"))
+            open_ones = loose.join(failed, "node").select("component").distinct()
+            live_nodes = cut_lineage(loose.join(open_ones, "component").select(F.col("node").alias("fingerprint")))
+            n = live_nodes.count()
+        live = cut_lineage(live_nodes.join(groups, "fingerprint", "left").select("fingerprint", F.coalesce("group", "fingerprint").alias("group")))
+        pairs, turn = "spanning" if 2 * n_new > n_found else "every", turn + 1
+
+
 def one_of_each(
     docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 256, miss: float = 0.02, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One document of each group of near copies, with all its columns: the one of the least id.
 
-    Texts are linked if their fingerprints of ``width``-word shingles differ in no more bits
-    than those of texts at Jaccard ``similarity`` do, with 1.5 standard deviations of room. A
-    pair at that similarity is missed with chance ``miss`` at most by the bucket search.
-    Null ids come last; of rows that repeat an id and text one stays. Texts without words are
-    one group.
+    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is at
+    least ``similarity``, compared exactly. What is compared are pairs whose sets' fingerprints
+    differ in no more bits than those at ``similarity`` are expected to, with 2.33 standard
+    deviations of room; the bucket search misses a pair at that distance with chance ``miss``
+    at most, nearer pairs with less. Null ids come last; of rows that repeat an id and text
+    one stays. Texts without words are one group.
     """
     share = differing_share(similarity)
-    radius = int(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+    radius = int(bits * share + 2.33 * math.sqrt(bits * share * (1 - share)))
     schema = T.StructType([*docs.schema, T.StructField("__print", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            made = [fingerprint(t.encode() if t is not None else None, width, bits, seed) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            made = [set_fingerprint(t.encode() if t is not None else None, width, bits, seed) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "__print"])
 
     printed = cut_lineage(docs.mapInArrow(run, schema))
-    made = printed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("__print").alias("fingerprint"))
-    labelled = grouped(made, lambda n: sampled_bits(bits, round(bits * share), n, miss), radius)
+    distinct = cut_lineage(printed.groupBy(F.col("__print").alias("fingerprint")).agg(F.min(f"`{id_col}`").alias("__least")))
+    # Of equal sets of shingles any text will do: the least by length and text, the same in every run.
+    text = F.col(f"`{text_col}`")
+    texts = cut_lineage(printed.groupBy(F.col("__print").alias("fingerprint")).agg(F.min_by(text, F.struct(F.length(text), F.xxhash64(text))).alias("text")))
+    groups = similar_groups(texts, lambda n: sampled_bits(bits, radius, n, miss), radius, bits, width, similarity, seed)
+    labelled = distinct.join(groups, "fingerprint", "left").withColumn("__group", F.coalesce("group", "fingerprint"))
     order = F.struct(F.col("__least").isNull().alias("none"), "__least", F.col("fingerprint").alias("__print"))
     chosen = labelled.groupBy("__group").agg(F.min(order).alias("c")).select("c.__print", "c.__least")
     kept = printed.join(chosen, "__print").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("__least")))

@@ -159,6 +159,34 @@ def test_one_of_each_keeps_one_row_of_a_group(docs, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def word_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_are_verified(spark):
+    draw = random.Random(8)
+    some = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    line = some(10)
+    texts = [" ".join(some(75) + line * 20 + some(75)) for _ in range(12)]  # clean texts that repeat a line
+    page = some(200)
+    for _ in range(60):  # a family on both sides of the similarity
+        words = list(page)
+        for at in draw.sample(range(200), draw.randint(1, 9)):
+            words[at] = "edited" + str(draw.randrange(10**6))
+        texts.append(" ".join(words))
+    texts += ["", None, " "]
+    group = list(range(len(texts)))
+    sets = [word_shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(table, miss=1e-6).collect()} == set(group)
+    assert set(range(12)) <= set(group) and 1 < len(set(group[12:72])) < 60
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (50, 41), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
