@@ -25,8 +25,12 @@ from lectern.session import cut_lineage
 
 BLOCK_WORDS = 256
 ROWS_A_TASK = 60_000
-#: Where every near pair leaves a task, it gets so many rows, for pairs grow with their square.
-ROWS_A_TASK_OF_PAIRS = 2_000
+#: A bucket of more rows is dealt over blocks of about so many, and each two blocks are compared in a task.
+BLOCK_ROWS = 8_192
+#: The same where every near pair leaves a task, for pairs grow with the square.
+ROWS_A_TASK_OF_PAIRS, BLOCK_ROWS_OF_PAIRS = 2_000, 512
+#: Rows are dealt over so many salts where they learn that their bucket is split.
+SALTS = 64
 #: A node with more links has its shingles dealt over salts, one for so many links.
 LINKS_A_SALT = 100
 
@@ -186,6 +190,43 @@ def spanning_links(rows: np.ndarray, run: np.ndarray, radius: int, label: np.nda
     return np.stack([moved, label[moved]], 1)
 
 
+def matrix(made: list[bytes], bits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(made), dtype=np.uint8).reshape(len(made), -1)[:, : bits // 8]
+
+
+def bucket_rows(distinct: DataFrame, choices: list[np.ndarray], n: int, bits: int, block_rows: int) -> tuple[DataFrame, int]:
+    """``key, pair`` and the columns of ``distinct`` for each row and choice, and how many rows these are.
+
+    Rows to compare share ``key`` and ``pair``. A bucket of over ``block_rows`` rows is dealt
+    over blocks, and a row goes to each pair of blocks with its own, so any two rows of a
+    bucket meet in some pair, and no pair has much over twice ``block_rows``.
+    """
+    columns = distinct.columns
+
+    def keyed(batches):
+        for batch in batches:
+            held = np.unpackbits(matrix(batch.column("fingerprint").to_pylist(), bits), axis=1).astype(np.int64)
+            for k, chosen in enumerate(choices):
+                keys = (held[:, chosen] @ (1 << np.arange(len(chosen), dtype=np.int64))) * len(choices) + k
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", *columns])
+
+    rows = distinct.mapInArrow(keyed, "key long, " + ", ".join(f"{c} binary" for c in columns))
+    large, more = None, 0
+    if n > block_rows:
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > block_rows)
+        large = cut_lineage(counts.select("key", "held", F.ceil(F.col("held") / F.lit(block_rows)).cast("int").alias("blocks")))
+        more = large.agg(F.sum(F.col("held") * (F.col("blocks") - 1))).first()[0] or 0
+    if not more:
+        return rows.withColumn("pair", F.lit(0).cast("long")), n * len(choices)
+    salted = large.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "fingerprint"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")
+    return rows.select("key", *columns, pair.alias("pair")), n * len(choices) + more
+
+
 def near_links(distinct: DataFrame, choices: list[np.ndarray], radius: int, n: int, bits: int, pairs: str = "", turn: int = 0) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints that connect all pairs found within the radius.
 
@@ -195,19 +236,12 @@ def near_links(distinct: DataFrame, choices: list[np.ndarray], radius: int, n: i
     """
     columns = ["fingerprint", "group"] if pairs else ["fingerprint"]
 
-    def matrix(made: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(made), dtype=np.uint8).reshape(len(made), -1)[:, : bits // 8]
-
-    def keyed(batches):
-        for batch in batches:
-            held = np.unpackbits(matrix(batch.column("fingerprint").to_pylist()), axis=1).astype(np.int64)
-            for k, chosen in enumerate(choices):
-                keys = (held[:, chosen] @ (1 << np.arange(len(chosen), dtype=np.int64))) * len(choices) + k
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *[batch.column(c) for c in columns]], ["key", *columns])
-
     def compare(rows: pa.Table) -> pa.Table:
-        key = rows.column("key").to_numpy()
-        _, run, sizes = np.unique(key, return_inverse=True, return_counts=True)
+        key, pair = (rows.column(c).to_numpy() for c in ("key", "pair"))
+        order = np.lexsort((pair, key))
+        run = np.empty(len(order), dtype=np.int64)
+        run[order] = np.cumsum(np.concatenate([[0], (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0)]))
+        sizes = np.bincount(run)
         order = np.lexsort((np.random.default_rng(turn).permutation(len(run)), run, -sizes[run]))
         order = order[sizes[run[order]] > 1]
         if not len(order):
@@ -218,12 +252,13 @@ def near_links(distinct: DataFrame, choices: list[np.ndarray], radius: int, n: i
         if pairs:
             first: dict[tuple, int] = {}
             label = np.array([first.setdefault((r, g), i) for i, (r, g) in enumerate(zip(run.tolist(), rows.column("group").take(pa.array(order)).to_pylist()))])
-        found = spanning_links(matrix(made), run, radius, label, pairs == "every")
+        found = spanning_links(matrix(made, bits), run, radius, label, pairs == "every")
         return pa.table({k: pa.array([made[i] for i in found[:, c]], pa.binary()) for c, k in enumerate("ab")})
 
-    tasks = parts_for(n * len(choices), ROWS_A_TASK_OF_PAIRS if pairs == "every" else ROWS_A_TASK)
-    rows = distinct.select(*columns).mapInArrow(keyed, "key long, " + ", ".join(f"{c} binary" for c in columns))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(tasks)))
+    every = pairs == "every"
+    rows, total = bucket_rows(distinct.select(*columns), choices, n, bits, BLOCK_ROWS_OF_PAIRS if every else BLOCK_ROWS)
+    tasks = parts_for(total, ROWS_A_TASK_OF_PAIRS if every else ROWS_A_TASK)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "pair"), F.lit(tasks)))
     links = rows.groupBy("part").applyInArrow(compare, "a binary, b binary")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

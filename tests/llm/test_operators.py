@@ -187,6 +187,30 @@ def test_near_copies_are_verified(spark):
     assert set(range(12)) <= set(group) and 1 < len(set(group[12:72])) < 60
 
 
+def test_large_buckets_are_split_over_pairs_of_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    family = {int.from_bytes(draw.bytes(8), "big") for _ in range(20)}
+    for _ in range(300):  # a chain of edits: equal in most of the bits that choose buckets
+        family.add(max(family) ^ (1 << int(draw.integers(0, 12))) ^ (1 << int(draw.integers(0, 12))))
+    prints = sorted(p.to_bytes(8, "big") for p in family)
+    table = spark.createDataFrame([(p,) for p in prints], "fingerprint binary")
+    choices = simhash.agreeing_bits(64, 2, 6)
+    want = {r["node"]: r["component"] for r in connected_components(simhash.near_links(table, choices, 2, len(prints), 64)).collect()}
+    rows, total = simhash.bucket_rows(table, choices, len(prints), 64, 8)
+    met, buckets, sizes = collections.defaultdict(set), collections.defaultdict(set), collections.Counter()
+    for r in rows.collect():
+        sizes[r["key"], r["pair"]] += 1
+        met[r["key"], r["pair"]].add(bytes(r["fingerprint"]))
+        buckets[r["key"]].add(bytes(r["fingerprint"]))
+    assert max(map(len, buckets.values())) > 40 > max(sizes.values()) and sum(sizes.values()) == total
+    for key, members in buckets.items():
+        seen = {(a, b) for (k, _), m in met.items() if k == key for a in m for b in m}
+        assert len(seen) == len(members) ** 2
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    got = {r["node"]: r["component"] for r in connected_components(simhash.near_links(table, choices, 2, len(prints), 64)).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (50, 41), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
