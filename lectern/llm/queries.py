@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontamination, language, neighbours, packing, repeats, secrets, sharding, simhash, tokens, toxicity
+from lectern.llm import decontamination, language, lines, neighbours, packing, periodic, repeats, secrets, sharding, simhash, tokens, toxicity, vafile
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,87 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     """Languages by a conditional random field over words."""
     docs = table(spark, folder, "documents")
     return language.predict(docs, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by the hash of its id, repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    listed = F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    docs = docs.select("doc_id", "text", listed.alias("words"))  # used often, so a column of its own
+    words, n = F.col("words"), F.size("words")
+    a = (g % n).cast("int")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / period).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice(words, a + 1, period), times))
+    planted = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), repeated), F.lit(1), n), " ")
+    return docs.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of four periods and more in documents, some of which repeat themselves."""
+    found = periodic.periodic_runs(with_planted_periods(table(spark, folder, "documents")), least=6, times=4)
+    best = periodic.longest_in_periods("runs")
+    written = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(written, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+@query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Three rounds of 16 centroids over the integer vectors of 64 components."""
+    hashed = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
+    found = vafile.clustered(table(spark, folder, "embeddings"), hashed, k=16, rounds=3, dim=64, scale=64)
+    columns = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
+    if found is None:
+        return spark.createDataFrame([], columns)
+    centroid = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return vafile.with_inertia(found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid.alias("centroid_sha256"))
+
+
+def _centroid_round(number: int) -> str:
+    """Assignment to the centroids ``c<number>`` and, from it, the next ones."""
+    return f"""a{number} AS (SELECT vec_id, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+  SELECT kept.vec_id, kept.x, k, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(kept.x, c.x)]) AS d FROM kept, c{number} AS c) GROUP BY vec_id, x),
+c{number + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{number} AS c LEFT JOIN (
+  SELECT k, list(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY j) AS x
+  FROM (SELECT k, j, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(x) AS v, unnest(range(64)) AS j FROM a{number}) GROUP BY k, j) GROUP BY k) AS m USING (k))"""
+
+
+ORACLES["op12_centroids"] = f"""
+WITH kept AS (SELECT vec_id, [floor(64 * v::DOUBLE)::BIGINT FOR v IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([v FOR v IN embedding IF v IS NOT NULL AND isfinite(v)]) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x FROM kept QUALIFY k < 16),
+{", ".join(_centroid_round(i) for i in range(4))},
+inertias AS (SELECT k, sum(d) AS own FROM a3 GROUP BY k)
+SELECT vec_id, k::INT AS cluster, d::BIGINT AS distance, own::BIGINT AS cluster_inertia, (SELECT sum(own) FROM inertias)::BIGINT AS inertia,
+  sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (k) JOIN inertias USING (k)
+"""
+
+
+@query
+def op13_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines of ten characters and more that an earlier document holds."""
+    docs = table(spark, folder, "documents")
+    kept = lines.kept_texts(docs, lines.keep_bitmaps(docs, least=10))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op13_lines"] = """
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+firsts AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key),
+judged AS (SELECT keyed.*, coalesce(doc_id <> first_doc, false) AS dropped FROM keyed LEFT JOIN firsts USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
