@@ -160,26 +160,17 @@ def cross_fit_diagnostics(df: DataFrame, unit: str, outcome: str, predictors: Se
     )
 
 
-def cross_fitted_binary_residuals(
-    df: DataFrame, unit: str, outcome: str, predictors: Sequence[str], out: str, folds: int = 5, seed: int = 41
-) -> DataFrame:
-    """Residual of a 0/1 outcome under balanced logistic fits that exclude the unit's fold of units.
+def cross_fitted_binary_residuals(df: DataFrame, unit: str, outcome: str, predictors: Sequence[str], out: str, penalty: float = 1.0) -> DataFrame:
+    """Residual of a 0/1 outcome under the balanced logistic fit on all other units, and ``<out>_status`` of that fit.
 
-    Logistic fits have no sums to subtract, so units are dealt into ``folds``
-    groups; each fit leaves one group out.
+    Rows with a missing predictor or outcome are left out of the fits and have a null residual.
     """
-    from lectern.functions.hashing import md5_int
     from lectern.functions.numeric import sigmoid
-    from lectern.operators.learning import balanced_weight, expand_training, fit_linear_classifiers
-
-    dealt = df.withColumns({"__fold": F.pmod(md5_int(F.lit(seed), F.col(unit)), F.lit(folds)).cast("int"), "__k": F.lit(folds)})
-    usable = dealt.where(F.col(outcome).isin(0, 1)).na.drop(subset=list(predictors))
-    training = expand_training(usable.select("__fold", "__k", outcome, *predictors))
-    weighted = balanced_weight(training, ["fold_id"], outcome).where("__classes = 2")
-    fits = fit_linear_classifiers(weighted, ["fold_id"], predictors, outcome, weight="__weight", penalty=1.0)
-    joined = dealt.join(fits.withColumnRenamed("fold_id", "__fold"), "__fold", "left")
+    from lectern.operators.left_out import left_out_logistic
+
+    fits = left_out_logistic(df, unit, outcome, predictors, penalty=penalty).withColumnRenamed("status", f"{out}_status")
     residual = F.col(outcome).cast("double") - sigmoid(prediction(predictors))
-    return joined.withColumn(out, residual).select(*df.columns, out)
+    return df.join(fits, unit, "left").withColumn(out, residual).select(*df.columns, out, f"{out}_status")
 
 
 # --- standard errors --------------------------------------------------------------

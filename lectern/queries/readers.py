@@ -135,7 +135,7 @@ def prepare_participants(t: Tables):
 
 
 _COUNTS = ", c AS (SELECT participant_id, count(*) AS n_word_rows, count(DISTINCT word_id) AS n_words_read, count(DISTINCT text_id) AS n_texts FROM panel GROUP BY 1), exposed AS (SELECT labelled.*, c.* EXCLUDE (participant_id) FROM labelled JOIN c USING (participant_id))"
-_OVERLAP = f"""WITH {PANEL}{GROUPS}{_COUNTS},
+OVERLAP = f"""WITH {PANEL}{GROUPS}{_COUNTS},
 rg AS (SELECT reader_group, min(n_words_read) AS a, max(n_words_read) AS b, min(n_word_rows) AS c, max(n_word_rows) AS d FROM exposed WHERE reader_group <> 'uncertain' GROUP BY 1),
 lim AS (SELECT count(*) AS g, max(a) AS a, min(b) AS b, max(c) AS c, min(d) AS d FROM rg),
 kept0 AS (SELECT exposed.* FROM exposed, lim WHERE reader_group <> 'uncertain' AND g >= 2 AND n_words_read BETWEEN a AND b AND n_word_rows BETWEEN lim.c AND lim.d),
@@ -148,7 +148,7 @@ def exposed_readers(t: Tables):
     return grouped_readers(t).join(counts, "participant_id").where("reader_group <> 'uncertain'")
 
 
-@query("f10_exposure_overlap", f"{_OVERLAP} SELECT participant_id, reader_group, n_words_read, n_word_rows FROM kept")
+@query("f10_exposure_overlap", f"{OVERLAP} SELECT participant_id, reader_group, n_words_read, n_word_rows FROM kept")
 def exposure_overlap(t: Tables):
     """Readers inside the exposure range shared by both groups."""
     return participants.exposure_overlap(exposed_readers(t), "reader_group", ["n_words_read", "n_word_rows"]).select(
@@ -263,7 +263,7 @@ def fold_counts(t: Tables):
 
 @query(
     "x05_exposure_balanced_splits",
-    f"""{_OVERLAP}, r AS (SELECT participant_id, reader_group, (row_number() OVER (ORDER BY participant_id) - 1)::INT AS i FROM kept)
+    f"""{OVERLAP}, r AS (SELECT participant_id, reader_group, (row_number() OVER (ORDER BY participant_id) - 1)::INT AS i FROM kept)
 SELECT 'text_balanced_sensitivity_lopo' AS split_name, a.i AS fold_id, CASE WHEN a.i = b.i THEN 'test' ELSE 'train' END AS split_role, b.participant_id, b.reader_group FROM r a, r b""",
 )
 def exposure_balanced_splits(t: Tables):

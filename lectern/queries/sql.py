@@ -1,5 +1,9 @@
 """SQL fragments shared by the oracles: the same test-data mapping, written for DuckDB."""
 
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
 WORDS = r"""
 lines AS (
   SELECT doc_id, lang, source, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p
@@ -140,3 +144,64 @@ def sql_corr(x: str, y: str, minimum: int = 3) -> str:
         f"CASE WHEN count(*) {both} >= {minimum} AND min({x}) {both} < max({x}) {both} AND min({y}) {both} < max({y}) {both} "
         f"THEN corr({x}, {y}) END"
     )
+
+
+# --- classifiers refitted one by one ------------------------------------------------
+
+
+def _solved(q: int, keys: str, source: str) -> str:
+    """Newton moves ``d0..`` from sums ``h<i>_<j>`` (i <= j) and ``g<i>`` by elimination and back substitution."""
+    held = ", ".join(f"b{i}" for i in range(q))
+    for k in range(q - 1):
+        pairs = ", ".join(f"h{i}_{j} - h{k}_{i} * h{k}_{j} / h{k}_{k} AS h{i}_{j}" if i > k else f"h{i}_{j}" for i in range(q) for j in range(i, q))
+        sides = ", ".join(f"g{i} - h{k}_{i} * g{k} / h{k}_{k} AS g{i}" if i > k else f"g{i}" for i in range(q))
+        source = f"(SELECT {keys}, it, {held}, {pairs}, {sides} FROM {source})"
+    for i in reversed(range(q)):  # one level each: an alias used in its own level is expanded every time
+        source = f"(SELECT *, (g{i}" + "".join(f" - h{i}_{j} * d{j}" for j in range(i + 1, q)) + f") / h{i}_{i} AS d{i} FROM {source})"
+    return source
+
+
+def sql_newton(train: str, p: int, loss: str = "logistic", keys: str = "fit, g", steps: int = 12, name: str = "coef", ridge: float = 1.0) -> str:
+    """CTEs ``<name>(keys, b0..bp)``: ridge classifiers on ``train(keys, y, w, z1..zp)`` by a recursive Newton iteration."""
+    q = p + 1
+    z = ["1.0", *[f"z{i}" for i in range(1, q)]]
+    eta = "b0" + "".join(f" + b{i} * z{i}" for i in range(1, q))
+    b = ", ".join(f"b{i}" for i in range(q))
+    if loss == "logistic":
+        pull, curve, cut = "w * (y - pr)", "w * pr * (1 - pr)", f"1 / (1 + exp(-({eta})))"
+    else:
+        pull, curve, cut = "2 * w * (2 * y - 1) * greatest(1 - (2 * y - 1) * pr, 0)", "2 * w * ((2 * y - 1) * pr < 1)::INT", eta
+    bound = [0.0 if i == 0 and loss == "logistic" else ridge for i in range(q)]
+    sums = ", ".join(f"sum(c * {z[i]} * {z[j]}){f' + {bound[i]} + 1e-10' if i == j else ''} AS h{i}_{j}" for i in range(q) for j in range(i, q))
+    rows = f"SELECT {keys}, it, {b}, {', '.join(z[1:])}, y, w, {cut} AS pr FROM {name}_run JOIN {train} USING ({keys}) WHERE it < {steps}"
+    cells = f"(SELECT *, {pull} AS r, {curve} AS c FROM ({rows}))"
+    state = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(q))
+    sides = ", ".join(f"sum(r * {z[i]}) - {bound[i]} * any_value(b{i}) AS g{i}" for i in range(q))
+    added = f"(SELECT {keys}, any_value(it) AS it, {state}, {sums}, {sides} FROM {cells} GROUP BY {keys})"
+    step = ", ".join(f"b{i} + d{i} * least(1, 20 / (it + 1.0)) AS b{i}" for i in range(q))
+    start = ", ".join(f"0::DOUBLE AS b{i}" for i in range(q))
+    return f"""{name}_run AS (SELECT DISTINCT {keys}, 0 AS it, {start} FROM {train} UNION ALL SELECT {keys}, it + 1 AS it, {step} FROM {_solved(q, keys, added)}),
+{name} AS (SELECT {keys}, {b} FROM {name}_run WHERE it = {steps})"""
+
+
+def sql_training(rows: str, features: Sequence[str], groups: Mapping[str, Sequence[str]], fits: str = "ft") -> str:
+    """CTEs ``tz`` (training rows of every fit, imputed, scaled, balanced) and ``sz`` (its scaler).
+
+    ``rows(split, key, fold, unit, y, features)`` train every fit of ``fits(fit, split, fold, unit)`` that leaves neither their fold nor their unit out.
+    """
+    f = list(features)
+    members = ", ".join(f"if(g IN ({', '.join(repr(n) for n, cols in groups.items() if c in cols) or repr('')}), CASE WHEN s{i} > 1e-9 THEN (coalesce({c}, m{i}, 0) - a{i}) / s{i} ELSE 0 END, 0) AS z{i}" for i, c in enumerate(f, 1))
+    names = " UNION ALL ".join(f"SELECT {n!r} AS g" for n in groups)
+    return f"""gn AS ({names}),
+tr AS MATERIALIZED (SELECT ft.fit, r.* FROM {fits} AS ft JOIN {rows} AS r ON r.split = ft.split AND r.fold <> ft.fold AND r.unit <> ft.unit),
+md AS (SELECT fit, {', '.join(f'median({c})::DOUBLE AS m{i}' for i, c in enumerate(f, 1))}, count(*) AS n, sum(y) AS n1 FROM tr GROUP BY fit),
+sz AS MATERIALIZED (SELECT md.*, {', '.join(f'a{i}, s{i}' for i in range(1, len(f) + 1))} FROM md JOIN (SELECT fit, {', '.join(f'avg(coalesce({c}, m{i}, 0)) AS a{i}, stddev_pop(coalesce({c}, m{i}, 0)) AS s{i}' for i, c in enumerate(f, 1))} FROM tr JOIN md USING (fit) GROUP BY fit) USING (fit)),
+tz AS MATERIALIZED (SELECT fit, g, y, n / (2.0::DOUBLE * CASE WHEN y = 1 THEN n1 ELSE n - n1 END) AS w, {members} FROM tr JOIN sz USING (fit), gn WHERE n1 > 0 AND n1 < n)"""
+
+
+def sql_held_out(rows: str, features: Sequence[str], groups: Mapping[str, Sequence[str]], coef: str = "coef", fits: str = "ft", keep: str = "key") -> str:
+    """A SELECT of ``g, fit, keep, y_true, y_score`` for the rows that each fit leaves out (a fold, or the unit where no fold is)."""
+    f = list(features)
+    eta = "b0" + "".join(f" + b{i} * (CASE WHEN s{i} > 1e-9 THEN (coalesce({c}, m{i}, 0) - a{i}) / s{i} ELSE 0 END)" for i, c in enumerate(f, 1))
+    return f"""SELECT g, fit, {keep}, y AS y_true, 1 / (1 + exp(-({eta}))) AS y_score FROM {fits} AS ft
+JOIN {rows} AS r ON r.split = ft.split AND CASE WHEN ft.fold >= 0 THEN r.fold = ft.fold AND r.unit <> ft.unit ELSE r.unit = ft.unit END JOIN sz USING (fit) JOIN {coef} USING (fit)"""

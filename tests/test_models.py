@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import learning, linear, metrics, resampling, splits
+from lectern.operators import fold_fits, learning, linear, metrics, resampling, splits
 
 
 @pytest.fixture(scope="module")
@@ -183,7 +183,9 @@ def test_cross_validation_gives_one_prediction_each(spark):
     frame.loc[3, "g"] = np.nan
     df = spark.createDataFrame(frame).withColumn("g", F.when(~F.isnan("g"), F.col("g")))
     folds = splits.assign_grouped_folds(df, "u", "label", 3, 1)
-    scored, coefficients = learning.cross_validate(df, folds, "u", ["f", "g"], "label", groups={"both": ["f", "g"], "one": ["g"]})
+    groups = {"both": ["f", "g"], "one": ["g"]}
+    scored, fitted = learning.cross_validate(df, folds, "u", ["f", "g"], "label", groups=groups)
+    coefficients = fold_fits.coefficient_rows(fitted, groups)
     rows = scored.toPandas()
     assert rows.groupby("feature_group").u.nunique().eq(30).all() and len(rows) == 60
     held = folds.toPandas().set_index("u")["__fold"]
