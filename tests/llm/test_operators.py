@@ -183,10 +183,21 @@ def test_near_copies_are_verified(spark):
             if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash.one_of_each(table, miss=1e-6).collect()} == set(group)
+    assert {r["doc_id"] for r in simhash.one_of_each(table).collect()} == set(group)
     assert set(range(12)) <= set(group) and 1 < len(set(group[12:72])) < 60
 
 
+def test_sets_at_the_similarity_share_a_band():
+    draw = np.random.default_rng(2)
+    missed = 0
+    for _ in range(300):
+        both, a, b = (draw.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
+        keys = [np.frombuffer(simhash.band_keys(np.concatenate([both, x]), 42), dtype="<i8") for x in (a, b)]
+        missed += not (keys[0] == keys[1]).any()
+    assert missed <= 6 and simhash.band_keys(both, 1) == simhash.band_keys(both[::-1].copy(), 1)
+    assert len(simhash.band_keys(both[:0], 1)) == 8 * simhash.BANDS
+
+
 def test_large_buckets_are_split_over_pairs_of_blocks(spark, monkeypatch):
     draw = np.random.default_rng(4)
     family = {int.from_bytes(draw.bytes(8), "big") for _ in range(20)}
@@ -194,9 +205,9 @@ def test_large_buckets_are_split_over_pairs_of_blocks(spark, monkeypatch):
         family.add(max(family) ^ (1 << int(draw.integers(0, 12))) ^ (1 << int(draw.integers(0, 12))))
     prints = sorted(p.to_bytes(8, "big") for p in family)
     table = spark.createDataFrame([(p,) for p in prints], "fingerprint binary")
-    choices = simhash.agreeing_bits(64, 2, 6)
-    want = {r["node"]: r["component"] for r in connected_components(simhash.near_links(table, choices, 2, len(prints), 64)).collect()}
-    rows, total = simhash.bucket_rows(table, choices, len(prints), 64, 8)
+    choices = simhash.bits_chosen(simhash.agreeing_bits(64, 2, 6), 64)
+    want = {r["node"]: r["component"] for r in connected_components(simhash.near_links(table, *choices, 2, len(prints), 64)).collect()}
+    rows, total = simhash.bucket_rows(table, *choices, len(prints), 8)
     met, buckets, sizes = collections.defaultdict(set), collections.defaultdict(set), collections.Counter()
     for r in rows.collect():
         sizes[r["key"], r["pair"]] += 1
@@ -207,7 +218,7 @@ def test_large_buckets_are_split_over_pairs_of_blocks(spark, monkeypatch):
         seen = {(a, b) for (k, _), m in met.items() if k == key for a in m for b in m}
         assert len(seen) == len(members) ** 2
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
-    got = {r["node"]: r["component"] for r in connected_components(simhash.near_links(table, choices, 2, len(prints), 64)).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(simhash.near_links(table, *choices, 2, len(prints), 64)).collect()}
     assert got == want and len(want) > 40
 
 
