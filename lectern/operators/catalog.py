@@ -67,7 +67,7 @@ def reader_feature_groups(columns: Sequence[str]) -> dict[str, list[str]]:
     }
     everything = list(dict.fromkeys([c for cols in groups.values() for c in cols] + like(r"^(age|comprehension_score)$")))
     without = lambda pattern: [c for c in everything if not re.search(pattern, c)]
-    groups["all_but_exposure"] = [c for c in everything if c not in names.EXPOSURE_ONLY]
+    groups["all_but_exposure"] = [c for c in everything if not names.is_text_exposure(c)]
     groups["all_but_predictability"] = without(r"surprisal|entropy|^lm_")
     groups["all_but_segmentation"] = without(r"boundary|opacity|vv_")
     groups["all_but_raw_speed"] = [c for c in everything if c not in names.GLOBAL_SPEED]
@@ -86,7 +86,7 @@ def feature_group_metadata(profiles: DataFrame, groups: Mapping[str, Sequence[st
     items = F.array_compact(F.array(*[F.when(F.col("feature_name").isin(*cols), g) for g, cols in groups.items() if cols]))
     rows = held.withColumn("feature_group", F.explode(items))
     name = F.col("feature_name")
-    exposure = name.isin(*names.EXPOSURE_ONLY, *names.EXPOSURE_COUNTS)
+    exposure = name.isin(*names.EXPOSURE_COUNTS) | F.array_contains(F.split(name, "_"), "exposure") | F.array_contains(F.split(name, "_"), "missing")
     return rows.withColumns(
         {
             "feature_family": names.feature_family(name, profiles.columns),
