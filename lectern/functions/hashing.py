@@ -23,3 +23,24 @@ def md5_unit(*parts: Column | str | int) -> Column:
 def md5_bucket(hex_digest: Column) -> Column:
     """Order-preserving bucket of a digest (4096 even buckets) for chunked ranking."""
     return F.conv(F.substring(hex_digest, 1, 3), 16, 10).cast("int")
+
+
+def signed_cell(token: Column, dimensions: int) -> Column:
+    """``(d, g)`` of a token: the dimension its digest names (at most 256) and a sign of 1 or -1."""
+    digest = F.md5(token)
+    at = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % dimensions
+    return F.struct(at.alias("d"), F.when(F.substring(digest, 3, 1) < "8", 1).otherwise(-1).alias("g"))
+
+
+def signed_vector(tokens: Column, dimensions: int = 16) -> Column:
+    """Feature hashing of a token array: each token adds its sign in its dimension.
+
+    Needs no vocabulary, and md5 gives the same vector in any SQL engine.
+    """
+    cells = F.transform(tokens, lambda t: signed_cell(t, dimensions))
+    zero = F.array_repeat(F.lit(0), dimensions)
+
+    def add(total: Column, cell: Column) -> Column:
+        return F.transform(total, lambda x, i: F.when(i == cell["d"], x + cell["g"]).otherwise(x))
+
+    return F.aggregate(cells, zero, add)
