@@ -3,9 +3,15 @@
 A short item in a long document has a small Jaccard similarity with it, which MinHash cannot
 find. So items are partitioned by size, and a document is seen through windows of twice a
 partition's size at half overlap: one of them holds the item whole, and against it the
-similarity is large. A window's minimum under one hash function equals the item's if the
-least shingle is shared; with 64 functions an item of which 0.8 is there is missed about once
-in 10^12. Candidates are then verified by the exact containment of the item's shingles.
+similarity is large. The windows run over those shingles only that some item has (a filter
+tells), so the text around an item and between its parts does not dilute them. A window's
+minimum under one hash function equals the item's if the least shingle is shared; with 64
+functions an item of which 0.8 is there is missed about once in 10^12, unless most of its
+window belongs to other items.
+
+An item that repeats itself belongs to every class from its distinct shingles to its length.
+One of fewer than four distinct shingles is searched by the shingles themselves. Candidates
+are then verified by the exact containment of the item's shingles.
 """
 
 from __future__ import annotations
@@ -18,7 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.session import cut_lineage
 
 FUNCTIONS = 64
-SMALLEST = 8
+SMALLEST = 4
+#: Items of fewer distinct shingles are their own keys.
+FEW = 4
 #: Filters of items' keys and shingles have this many bits (2 MB), whatever the benchmark's size.
 FILTER_BITS = 1 << 24
 SALTS = 16
@@ -68,9 +76,16 @@ def keyed(minima: np.ndarray, size: int) -> np.ndarray:
     return mixed(minima ^ tags)
 
 
+def own_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of single shingles, apart from those of minima."""
+    return mixed(np.unique(hashes) ^ MIX)
+
+
 def window_keys(hashes: np.ndarray, classes: list[int]) -> list[np.ndarray]:
     """For each size class the keys of all windows of twice its size, a row a window."""
     out = []
+    if not classes:
+        return out
     starts = np.arange(0, len(hashes), SMALLEST)
     blocks = np.empty((len(starts), FUNCTIONS), dtype=np.uint64)
     for f in range(FUNCTIONS):
@@ -98,29 +113,36 @@ def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def item_tables(items: DataFrame, width: int, item_id: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Search keys and distinct shingles of the items, stored."""
+    """Search keys and distinct shingles of the items, stored; ``item_key`` names an item, a null id too."""
     named = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).dropDuplicates()
+    named = named.withColumn("item_key", F.to_json(F.struct("item_id")))
     kind = named.schema["item_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            ids, keys, shingles, sizes = [], [], [], []
-            for item, raw in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+            ids, names, keys, shingles, sizes = [], [], [], [], []
+            for item, name, raw in zip(*[batch.column(c).to_pylist() for c in ("item_id", "item_key", "text")]):
                 words = words_of(raw)
                 hashes = shingle_keys(words, width)
                 if not len(hashes):
                     continue
-                size = classes_up_to(len(hashes))[-1]
-                minima = np.array([[(hashes * FACTORS[f] + OFFSETS[f]).min() for f in range(FUNCTIONS)]], dtype=np.uint64)
+                distinct = np.unique(hashes)
                 ids.append(item)
-                sizes.append(size)
-                keys.append(keyed(minima, size)[0].view(np.int64))
+                names.append(name)
+                if len(distinct) < FEW:
+                    sizes.append([])
+                    keys.append(own_keys(distinct).view(np.int64))
+                else:
+                    minima = np.array([[(distinct * FACTORS[f] + OFFSETS[f]).min() for f in range(FUNCTIONS)]], dtype=np.uint64)
+                    own = [c for c in classes_up_to(len(hashes)) if c >= len(distinct)]
+                    sizes.append(own)
+                    keys.append(np.concatenate([keyed(minima, c)[0] for c in own]).view(np.int64))
                 shingles.append(sorted({shingle_at(words, i, width) for i in range(len(hashes))}))
-            arrays = [pa.array(ids, batch.column("item_id").type), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["item_id", "size", "keys", "shingles"])
+            arrays = [pa.array(ids, batch.column("item_id").type), pa.array(names, pa.string()), pa.array(sizes, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["item_id", "item_key", "sizes", "keys", "shingles"])
 
-    made = cut_lineage(named.mapInArrow(run, f"item_id {kind}, size int, keys array<long>, shingles array<binary>"))
-    return made, made.select("item_id", F.size("shingles").cast("long").alias("n_shingles"), F.explode("shingles").alias("shingle"))
+    made = cut_lineage(named.mapInArrow(run, f"item_id {kind}, item_key string, sizes array<int>, keys array<long>, shingles array<binary>"))
+    return made, made.select("item_id", "item_key", F.size("shingles").cast("long").alias("n_shingles"), F.explode("shingles").alias("shingle"))
 
 
 def item_filters(made: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -129,7 +151,7 @@ def item_filters(made: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, l
     def run(batches):
         keys, shingles, sizes = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(FILTER_BITS // 8, np.uint8), set()
         for batch in batches:
-            sizes |= set(batch.column("size").to_pylist())
+            sizes |= set(batch.column("sizes").flatten().to_pylist())
             add_to(keys, batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
             for each in batch.column("shingles").to_pylist():
                 for s in each:
@@ -164,25 +186,26 @@ def leaked_texts(docs: DataFrame, items: DataFrame, width: int = 5, least: float
             for name, raw in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(raw)
                 hashes = shingle_keys(words, width)
-                if not len(hashes) or not classes:
+                at = np.flatnonzero(held(shingles_of, hashes))
+                if not len(at):
                     continue
-                hits = [k[held(keys_of, k)] for k in window_keys(hashes, classes)]
+                hits = [k[held(keys_of, k)] for k in [own_keys(hashes[at]), *window_keys(hashes[at], classes)]]
                 hits = np.unique(np.concatenate(hits))
                 if len(hits):
                     names.append(name)
                     found_keys.append(hits.view(np.int64))
-                    found_shingles.append(list({shingle_at(words, int(i), width) for i in np.flatnonzero(held(shingles_of, hashes))}))
+                    found_shingles.append(list({shingle_at(words, int(i), width) for i in at}))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found_keys, pa.list_(pa.int64())), pa.array(found_shingles, pa.list_(pa.binary()))], ["text_key", "keys", "shingles"])
 
     hits = cut_lineage(named.mapInArrow(run, "text_key string, keys array<long>, shingles array<binary>").dropDuplicates(["text_key"]))
     # A key or shingle can be in a third of all texts: its rows are dealt over salts.
     salt = F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int").alias("salt")
     salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    item_keys = made.select("item_id", F.explode("keys").alias("key")).distinct().select("item_id", "key", salted)
-    pairs = hits.select("text_key", salt, F.explode("keys").alias("key")).join(item_keys, ["key", "salt"]).select("text_key", "item_id").distinct()
-    items_of = shingles.select("item_id", "n_shingles", "shingle", salted)
-    own = pairs.join(hits.select("text_key", "shingles"), "text_key").select("text_key", "item_id", salt, F.explode("shingles").alias("shingle"))
-    common = own.join(items_of, ["item_id", "shingle", "salt"]).groupBy("text_key", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_common"))
+    item_keys = made.select("item_key", F.explode("keys").alias("key")).distinct().select("item_key", "key", salted)
+    pairs = hits.select("text_key", salt, F.explode("keys").alias("key")).join(item_keys, ["key", "salt"]).select("text_key", "item_key").distinct()
+    items_of = shingles.select("item_id", "item_key", "n_shingles", "shingle", salted)
+    own = pairs.join(hits.select("text_key", "shingles"), "text_key").select("text_key", "item_key", salt, F.explode("shingles").alias("shingle"))
+    common = own.join(items_of, ["item_key", "shingle", "salt"]).groupBy("text_key", "item_key", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_common"))
     held_share = common.withColumn("containment", F.col("n_common") / F.col("n_shingles")).filter(F.col("containment") >= least)
     return held_share.select("text_key", "item_id", "n_common", "n_shingles", "containment")
 
@@ -193,7 +216,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, least: float
     Words stand between ASCII white space, A-Z lower-cased; an item is in a document that has
     at least ``least`` of its distinct shingles of ``width`` words (fewer words: one shingle
     of all). Null and empty texts have no shingles and match nothing. Rows that repeat an id
-    and text give one row; a null id is kept. Empty tables give no rows. Other columns are
+    and text give one row; null ids of documents and of items are kept. Empty tables give no rows. Other columns are
     left out.
     """
     leaks = cut_lineage(leaked_texts(docs, items, width, least, item_id, text_col, item_text))

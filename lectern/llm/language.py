@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lectern.llm.common import id_and_text, id_crc, schema_of
 
-WORD = re.compile(r"[^\W\d_]+")
+#: A word of the chain: at most so many letters. A longer run of letters (a script without
+#: spaces, say) is several words in a row, so that each part counts and the language may switch.
+WORD = re.compile(r"[^\W\d_]{1,24}")
 BUCKETS = 1 << 15
 RUN = 32
 TRAIN_LENGTH = 64
@@ -29,9 +31,8 @@ BATCH_WORDS = 150_000
 
 
 @lru_cache(maxsize=200_000)
-def features(word: str) -> tuple[int, ...]:
-    """Hashed features of a lower-cased word; no more than 24 characters at either end count."""
-    w = word if len(word) <= 48 else word[:24] + word[-24:]
+def features(w: str) -> tuple[int, ...]:
+    """Hashed features of a lower-cased word."""
     raw = [f"w{w}", *[f"p{w[:k]}" for k in (1, 2, 3)], *[f"s{w[-k:]}" for k in (1, 2, 3)]]
     raw += [f"n{w[i:i + k]}" for k in (2, 3) for i in range(len(w) - k + 1)]
     return tuple({xxhash.xxh32_intdigest(f) % BUCKETS for f in raw})

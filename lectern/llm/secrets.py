@@ -24,11 +24,14 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
 #: Strings the models judge; a shorter one holds too little to tell.
-STRING = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_STRING = 20
+STRING = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_STRING)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.full(128, len(ALPHABET), dtype=np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 SIDE = len(ALPHABET) + 1
+#: Runs of one character (rules, padding) in the ordinary model: their length, and one pair in so many.
+RULE, RULES_SHARE = 40, 50
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -62,6 +65,14 @@ def log_transitions(counts: np.ndarray, smoothing: float) -> np.ndarray:
     return np.log((counts + smoothing * overall) / (counts.sum(1, keepdims=True) + smoothing))
 
 
+def identifiers(words: list[str]) -> list[str]:
+    """The words as names are written: in capitals, capitalised, and joined in pairs by each separator and by case."""
+    out = [w.upper() for w in words] + [w.capitalize() for w in words]
+    for a, b in zip(words[::2], words[1::2]):
+        out += [f"{a}_{b}", f"{a}-{b}", f"{a}/{b}", f"{a}={b}", f"{a.upper()}_{b.upper()}", a.capitalize() + b.capitalize()]
+    return out
+
+
 class MarkovRatio:
     """Log-likelihood ratio of a string under the two models."""
 
@@ -77,8 +88,10 @@ def fit(docs: DataFrame, sample_docs: int = 5_000, seed: int = 0, id_col: str =
     """Both models from labelled samples.
 
     Random: what the fixed patterns find in the sample, and as many drawn strings. Ordinary:
-    the other strings of at least eight characters in the sample. The sample is about
-    ``sample_docs`` documents, chosen by a hash of the id; only 67 x 67 counts leave a task.
+    the other strings of eight to 19 characters in the sample (a longer one is to be judged, so
+    it teaches nothing), the identifiers that can be written with them, and runs of one
+    character. The sample is about ``sample_docs``
+    documents, chosen by a hash of the id; only 67 x 67 counts leave a task.
     """
     named = id_and_text(docs, id_col, text_col)
     n = named.count()
@@ -88,7 +101,7 @@ def fit(docs: DataFrame, sample_docs: int = 5_000, seed: int = 0, id_col: str =
 
     def count(batches):
         for batch in batches:
-            random, ordinary = [], []
+            random, ordinary = [], []  # both are labelled by where they stand
             for text in batch.column("text").to_pylist():
                 at = 0
                 spans = base_spans(text or "")
@@ -97,6 +110,8 @@ def fit(docs: DataFrame, sample_docs: int = 5_000, seed: int = 0, id_col: str =
                     ordinary += word.findall(text[at:start])
                     at = max(at, end)
                 ordinary += word.findall((text or "")[at:])
+            ordinary = [w for w in ordinary if len(w) < LEAST_STRING]
+            ordinary += identifiers([w for w in ordinary if w.isalpha()])
             both = np.concatenate([pairs(random).ravel(), pairs(ordinary).ravel()])
             used = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(both[used])], ["cell", "n"])
@@ -107,6 +122,8 @@ def fit(docs: DataFrame, sample_docs: int = 5_000, seed: int = 0, id_col: str =
         cells[row["cell"]] = row["n"]
     random, ordinary = cells.reshape(2, SIDE, SIDE)
     drawn = pairs(random_strings(1_000, seed))
+    runs = pairs([c * RULE for c in ALPHABET])
+    ordinary = ordinary + runs * max(1.0, ordinary.sum() / (RULES_SHARE * runs.sum()))
     return MarkovRatio(random + drawn * max(1.0, random.sum() / drawn.sum()), ordinary)
 
 
@@ -117,10 +134,8 @@ def all_spans(text: str, model: MarkovRatio | None, least_ratio: float) -> tuple
     if model is not None:
         for m in STRING.finditer(text):
             start, end = m.span()
-            if any(s < end and start < e for s, e, _ in base):
-                continue
-            s = m[0]
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and model.score(s) >= least_ratio:
+            within = any(s <= start and end <= e for s, e, _ in base)
+            if not within and model.score(m[0]) >= least_ratio:
                 added.append((start, end, "random"))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -130,13 +145,14 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan(
-    docs: DataFrame, model: MarkovRatio | None, least_ratio: float = 12.0, redact: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: MarkovRatio | None, least_ratio: float = 20.0, redact: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: counts by kind, a digest of the fixed patterns' spans, and all spans.
 
     Offsets are code points, ends exclusive. A string is added if it has 20 or more
-    characters, a letter, a digit and a log ratio of at least ``least_ratio``, and touches no
-    span of a fixed pattern. ``redact`` adds ``redacted``, the text with each span replaced.
+    characters and a log ratio of at least ``least_ratio``, whatever its characters, unless it
+    lies within one span of a fixed pattern; where such a span covers a part of it, both are
+    spans. ``redact`` adds ``redacted``, the text with each span replaced.
 
     Null texts count as empty: no spans, and ``redacted`` stays null. Rows with null or
     repeated ids give a row each. An empty table gives none; other columns are left out.
@@ -177,7 +193,7 @@ def replaced(text: str | None, spans: list[tuple[int, int, str]], by: str) -> st
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, model: MarkovRatio | None, by: str, least_ratio: float = 12.0, text_col: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, model: MarkovRatio | None, by: str, least_ratio: float = 20.0, text_col: str = "text") -> DataFrame:
     """All documents, every secret in their texts replaced; other columns as they are."""
 
     def run(batches):

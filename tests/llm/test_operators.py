@@ -243,6 +243,25 @@ def test_decontamination_equals_exact_containment(spark, docs, none):
     assert decontamination.contaminated(docs, table.limit(0)).count() == 0
 
 
+def test_decontamination_of_few_and_repeated_shingles(spark):
+    draw = random.Random(8)
+    fresh = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    line, slow = "one two three four five six seven", " ".join(w for w in "abcdefgh" for _ in range(60))
+    items = [(1, "lone question of five words"), (2, " ".join([line] * 80)), (None, fresh(30)), (4, slow), (5, "same " * 600), (6, fresh(60))]
+    parts = items[5][1].split(" ")
+    apart = " ".join(w for i in range(0, 60, 12) for w in [*parts[i : i + 12], fresh(500)])
+    texts = [f"{fresh(300)} {t} {fresh(300)}" for _, t in items] + [f"{fresh(99)} {line} {line} {fresh(99)}", apart, fresh(200)]
+    texts += [f"{fresh(50)} lone question of five words {fresh(50)}" for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    held = [(i, grams(q)) for i, q in items]
+    want = {(d, i) for d, t in enumerate(texts) for g in [grams(t)] for i, q in held if len(q & g) >= 0.8 * len(q)}
+    got = decontamination.contaminated(docs, table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert {(0, 1), (1, 2), (2, None), (3, 4), (4, 5), (5, 6), (6, 2)} <= want and len(want) >= 207
+
+
 @pytest.mark.parametrize("block", [1, 256])
 def test_packing_round_trip(docs, none, tokenizer, block):
     got = packing.pack(docs, capacity=64, block_sequences=block, keep_ids=True).collect()
@@ -282,6 +301,21 @@ def test_secrets_of_known_strings(spark, none):
     assert secrets.scan(none, secrets.fit(none)).count() == 0
 
 
+def test_secrets_of_one_alphabet_and_around_fixed_spans(spark):
+    letters, upper = "qZtLxRvBkMwYsHdQfGnJcWpTbKzV", "QZKXJWVHTGMBRPYFDLCUQXZKWJHV"
+    around = "Zq7-0123456789abcdef0-RkX3vT9wLm2Qz"
+    texts = [f"see {letters} there", f"see {upper} there", f"see {around} there", "my password: abcdefghijkl0123 end"]
+    ordinary = ["ABSTRACT_FACTORY_OF_EVERYTHING", "usually/located/sharing/everything", "-" * 40, "=" * 40, "everything-of-the-factory-share"]
+    plain = " ".join(["abstract factory everything usually located sharing password reading ordinary sentences without anything remarkable"] * 5)
+    docs = spark.createDataFrame(list(enumerate(texts + ordinary + [plain] * 40)), "doc_id long, text string")
+    model = secrets.fit(docs)
+    got = {r["doc_id"]: r for r in secrets.scan(docs, model, redact="#").collect()}
+    assert got[0]["redacted"] == got[1]["redacted"] == got[2]["redacted"] == "see # there"
+    assert got[2]["n_hex"] == 1 and got[2]["spans"] == f"random:4:{4 + len(around)},hex:8:25"
+    assert got[3]["spans"] == "assign:3:29"
+    assert [got[4 + i]["spans"] for i in range(len(ordinary))] == [""] * len(ordinary)
+
+
 def brute_segments(scores):
     """All maximal segments by their definition, recursively."""
     best = max(((sum(scores[i:j]), i - j, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
@@ -339,6 +373,17 @@ def test_language_of_switching_texts(spark, none):
     assert {r["lang_pred"] for r in language.predict(table, language.fit(none)).collect()} == {"und"}
 
 
+def test_language_of_unbroken_letters(spark):
+    assert [len(w) for w in language.WORD.findall("x" * 60 + " ab")] == [24, 24, 12, 2]
+    made = [(i, "mirandola perestuvo calamanda" if i % 2 else "zwerchfeld gruntzhaft kopfwurst", "aa" if i % 2 else "bb") for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    mixed = "zwerchfeldgruntzhaft" * 2 + "mirandolaperestuvocalamanda" * 40_000 + "kopfwurst" * 3
+    assert len(mixed) > 10**6
+    (row,) = language.predict(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model).collect()
+    assert row["lang_pred"] == "aa"
+
+
 def test_neighbours_equal_brute_force(spark):
     draw = np.random.default_rng(3)
     vectors = [(i, draw.standard_normal(12).astype(np.float32).tolist()) for i in range(150)]
