@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by cosine: NN-descent, then greedy search of its graph.
 
 NN-descent starts from random neighbours and betters them: what is near a vector's
-neighbour is likely near the vector. Each round joins every vector's neighbours, in both
-directions, with their own vectors and compares them with one another, block by block; what
-betters a list is sent to its owner. A query walks the graph: it expands the best vectors
+neighbour is likely near the vector. Each round joins vectors' neighbours, in both
+directions, with their own vectors and compares them with one another, block by block, where
+one of the two is fresh in its list; what betters a list is sent to its owner. A query walks the graph: it expands the best vectors
 that it has not expanded, keeps the best it meets, and ends when none is left to expand.
 
 Equal vectors are one node, which keeps the smallest ids that any answer can need.
@@ -11,6 +11,8 @@ Equal vectors are one node, which keeps the smallest ids that any answer can nee
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,6 +22,10 @@ from lectern.llm.common import parts_for
 from lectern.session import cut_lineage
 
 BLOCK_NODES = 4096
+#: Nodes whose neighbours are gathered and compared together.
+ASK_NODES = 256
+#: Single precision scores this close to the last wanted one are all worked out in double precision.
+MARGIN = 1e-4
 JOIN_ROWS = 256
 LISTS = [("id", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))]
 LIST_SCHEMA = "id long, nbrs array<long>, scores array<float>"
@@ -61,9 +67,9 @@ def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
     return grouped.select(F.col("members")[0].alias("id"), "unit", "raw", "members")
 
 
-def matrix(column) -> np.ndarray:
+def matrix(column, kind=np.float32) -> np.ndarray:
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(raw), -1)
+    return np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float32, copy=False)
 
 
 def best_lists(owner: np.ndarray, other: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
@@ -135,23 +141,44 @@ def both_ways(graph: DataFrame, reverse: int, seed: int) -> DataFrame:
     return links.union(back).groupBy("id").agg(F.sort_array(F.collect_set("nbr")).alias("near"))
 
 
+def sampled_near(graph: DataFrame, most_back: int, seed: int) -> DataFrame:
+    """``id, near, fresh``: half the neighbours of each node, and nodes that it is a chosen neighbour of.
+
+    A coin per (round, pair) chooses the links; reverse links are at most ``most_back`` fresh
+    and as many old ones. Nodes without a fresh neighbour have nothing new to compare and are left out.
+    """
+    links = graph.select("id", F.explode(F.arrays_zip("nbrs", "fresh")).alias("n")).select("id", F.col("n.nbrs").alias("nbr"), F.col("n.fresh").alias("fresh"))
+    links = links.filter(coin("id", "nbr", seed))
+    drawn = F.row_number().over(W.partitionBy("nbr", "fresh").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
+    back = links.withColumn("r", drawn).filter(F.col("r") <= most_back).select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "fresh")
+    both = links.union(back).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"))
+    near = both.groupBy("id").agg(F.collect_list(F.struct("nbr", "fresh")).alias("n"))
+    return near.filter(F.exists("n", lambda x: x["fresh"])).select("id", F.col("n.nbr").alias("near"), F.col("n.fresh").alias("fresh"))
+
+
+def coin(owner, other, seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), owner, other), F.lit(2)) == 0
+
+
 def local_join(near: pa.Table, held: pa.Table, keep: int) -> pa.Table:
-    """All pairs among each row's neighbours that better one of their lists."""
-    ids, x = held.column("id").to_numpy(), matrix(held.column("unit"))
+    """Pairs among each row's neighbours, at least one of them fresh, that better one of their lists."""
+    ids, x = held.column("id").to_numpy(), matrix(held.column("small"), np.float16)
     order = np.argsort(ids)
     ids, x, worst = ids[order], x[order], held.column("worst").to_numpy()[order].copy()
-    lists = near.column("near").combine_chunks()
+    lists, flags = near.column("near").combine_chunks(), near.column("fresh").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     code = np.searchsorted(ids, lists.flatten().to_numpy())
+    at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     table = np.full((len(sizes), int(sizes.max(initial=1))), -1)
-    table[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = code
+    fresh = np.zeros(table.shape, dtype=bool)
+    table[at], fresh[at] = code, flags.flatten().to_numpy(zero_copy_only=False)
     best = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)]
     for a in range(0, len(table), JOIN_ROWS):
-        part = table[a : a + JOIN_ROWS]
+        part, new = table[a : a + JOIN_ROWS], fresh[a : a + JOIN_ROWS]
         v = x[part]
         s = v @ v.transpose(0, 2, 1)
         bound = np.where(part < 0, np.float32(9), worst[part])
-        hit = (s > bound[:, :, None]) & (part >= 0)[:, None, :]
+        hit = (s > bound[:, :, None]) & (part >= 0)[:, None, :] & (new[:, :, None] | new[:, None, :])
         hit[:, np.arange(part.shape[1]), np.arange(part.shape[1])] = False
         r, i, j = np.nonzero(hit)
         best = list(best_lists(*(np.concatenate(p) for p in zip(best, (part[r, i], part[r, j], s[r, i, j]))), keep))
@@ -162,37 +189,82 @@ def local_join(near: pa.Table, held: pa.Table, keep: int) -> pa.Table:
 
 
 def merged(old: pa.Table, new: pa.Table, keep: int) -> pa.Table:
-    """Old lists bettered by new entries, and how many entries are new."""
+    """Old lists bettered by new entries, which are fresh, and how many entries are new."""
     a, b = flat(old), flat(new)
-    known = np.isin(b[0], a[0])
-    every = [np.concatenate(p) for p in zip(a, [c[known] for c in b])]
-    out = best_lists(*every, keep)
+    b = [c[np.isin(b[0], a[0])] for c in b]
+    out = best_lists(*[np.concatenate(p) for p in zip(a, b)], keep)
     made = as_lists(*out)
-    before = set(zip(a[0].tolist(), a[1].tolist()))
-    changed = np.array([(o, w) not in before for o, w in zip(out[0].tolist(), out[1].tolist())], dtype=np.int64)
-    starts = made.column("nbrs").combine_chunks().offsets.to_numpy()[:-1]
-    return made.append_column("changed", pa.array(np.add.reduceat(changed, starts) if len(starts) else changed, pa.int64()))
+    names = np.unique(np.concatenate([a[0], a[1], out[1]]))
+    pair = lambda rows: np.searchsorted(names, rows[0]) * len(names) + np.searchsorted(names, rows[1])
+    was, now = pair(a), pair(out)
+    order = np.argsort(was)
+    place = np.minimum(np.searchsorted(was[order], now), len(was) - 1)
+    known = was[order][place] == now
+    waiting = old.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)[order][place]
+    offsets = made.column("nbrs").combine_chunks().offsets
+    changed = np.add.reduceat((~known).astype(np.int64), offsets.to_numpy()[:-1]) if len(made) else np.zeros(0, dtype=np.int64)
+    flags = pa.ListArray.from_arrays(offsets, pa.array(~known | waiting, pa.bool_()))
+    return made.append_column("fresh", flags).append_column("changed", pa.array(changed, pa.int64()))
+
+
+def placed_by_projection(nodes: DataFrame, n: int, seed: int) -> DataFrame:
+    """``id, small, block``: half-precision vectors, in blocks of nodes that stand together along random projections.
+
+    Nodes are sorted by the signs of their projections, so near nodes are likely in one block
+    and ask for the same neighbours once. Where vectors have no such order, a block's nodes ask
+    for at most their own neighbours, so copies grow with the nodes at any number of blocks.
+    """
 
+    def code(batches):
+        planes = None
+        for batch in batches:
+            x = matrix(batch.column("unit"))
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((x.shape[1], 40)).astype(np.float32)
+            bits = ((x @ planes > 0) @ (1 << np.arange(39, -1, -1, dtype=np.int64))) if len(x) else np.zeros(0, dtype=np.int64)
+            small = [row.tobytes() for row in x.astype(np.float16)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(small, pa.binary()), pa.array(bits, pa.int64())], ["id", "small", "code"])
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        seen, first = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            block = first + (seen + np.arange(batch.num_rows)) // ASK_NODES
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("small"), pa.array(block, pa.int64())], ["id", "small", "block"])
 
-def descend(nodes: DataFrame, n: int, keep: int, reverse: int, least_change: float, most_rounds: int, seed: int) -> DataFrame:
-    """The neighbour graph ``id, nbrs, scores``, best first."""
+    coded = nodes.select("id", "unit").mapInArrow(code, "id long, small binary, code long")
+    ranges = coded.repartitionByRange(parts_for(n, 50 * BLOCK_NODES), "code", "id").sortWithinPartitions("code", "id")
+    return ranges.mapInArrow(number, "id long, small binary, block long")
+
+
+def descend(nodes: DataFrame, n: int, keep: int, least_change: float, most_rounds: int, seed: int) -> DataFrame:
+    """The neighbour graph ``id, nbrs, scores``, best first.
+
+    Only pairs with a fresh entry are compared: one that came in since it was last chosen.
+    """
     blocks = parts_for(n, BLOCK_NODES)
-    graph = cut_lineage(random_lists(nodes, n, keep, seed))
+    placed = cut_lineage(placed_by_projection(nodes, n, seed))
+    graph = cut_lineage(random_lists(nodes, n, keep, seed).withColumn("fresh", F.transform("nbrs", lambda _: F.lit(True))))
     for step in range(most_rounds):
-        near = both_ways(graph, reverse, seed + step).withColumn("block", block_of("id", blocks))
-        near = cut_lineage(near)
+        turn = seed + step
+        near = cut_lineage(sampled_near(graph, keep // 2, turn).join(placed.select("id", "block"), "id"))
         worst = F.when(F.size("scores") < keep, F.lit(-9.0)).otherwise(F.array_min("scores")).cast("float")
-        known = nodes.select("id", "unit").join(graph.select("id", worst.alias("worst")), "id")
+        known = placed.select("id", "small").join(graph.select("id", worst.alias("worst")), "id")
         asked = near.select("block", F.explode("near").alias("id")).distinct()
-        held = asked.join(known, "id").select(F.col("block").alias("asking"), F.col("id").alias("held_id"), "unit", "worst")
-        held = held.toDF("asking", "id", "unit", "worst")
+        held = asked.join(known, "id").select(F.col("block").alias("asking"), "id", "small", "worst").toDF("asking", "id", "small", "worst")
         better = near.groupBy("block").cogroup(held.groupBy("asking")).applyInArrow(lambda a, b: local_join(a, b, keep) if a.num_rows else as_lists(*[np.zeros(0)] * 3), LIST_SCHEMA)
         better = better.withColumn("owner", block_of("id", blocks))
-        own = graph.select("id", "nbrs", "scores").withColumn("owner", block_of("id", blocks))
-        new = own.groupBy("owner").cogroup(better.groupBy("owner")).applyInArrow(lambda a, b: merged(a, b, keep), LIST_SCHEMA + ", changed long")
+        pairs = F.arrays_zip("nbrs", "fresh")
+        waiting = F.transform(pairs, lambda x: x["fresh"] & ~coin(F.col("id"), x["nbrs"], turn)).alias("fresh")
+        own = graph.select("id", "nbrs", "scores", waiting).withColumn("owner", block_of("id", blocks))
+        new = own.groupBy("owner").cogroup(better.groupBy("owner")).applyInArrow(lambda a, b: merged(a, b, keep), LIST_SCHEMA + ", fresh array<boolean>, changed long")
         graph = cut_lineage(new)
         if (graph.agg(F.sum("changed")).first()[0] or 0) <= least_change * n * keep:
             break
+    else:
+        warnings.warn(f"NN-descent still changed over {least_change} of its entries after {most_rounds} rounds", stacklevel=2)
     return graph.select("id", "nbrs", "scores")
 
 
@@ -248,8 +320,8 @@ def nearest(
     k: int = 5,
     keep: int = 32,
     reverse: int = 32,
-    least_change: float = 0.25,
-    most_rounds: int = 12,
+    least_change: float = 0.02,
+    most_rounds: int = 20,
     pool: int = 256,
     step: int = 64,
     most_hops: int = 12,
@@ -261,7 +333,9 @@ def nearest(
 
     ``is_query`` is a condition on ``vec_id``; every other row is a candidate. ``score`` is the
     cosine of the original vectors in double precision; ties go to the smaller id. Rounds of
-    NN-descent end when fewer than ``least_change`` of all list entries change.
+    NN-descent end when fewer than ``least_change`` of all list entries change; a warning says
+    so if ``most_rounds`` come first. Every vector of the walk's pool whose single precision
+    score could tie with the last wanted one is scored exactly.
 
     Null vectors, zero ones, those with null or non-finite components, those not as long as
     most of the table and rows with a null id take no part. Rows that repeat an id are rows
@@ -273,10 +347,12 @@ def nearest(
     n = nodes.count()
     asked = rows.filter(is_query).join(nodes.select("id", "raw"), "raw").select("vec_id", "id", "raw")
     queries = cut_lineage(asked.select("id").distinct())
-    graph = descend(nodes, n, keep, reverse, least_change, most_rounds, seed)
+    graph = descend(nodes, n, keep, least_change, most_rounds, seed)
     found = walk(nodes, graph, queries, n, reverse, pool, step, most_hops, seed)
     # Single precision led the search; a margin of nodes is scored exactly.
-    near = found.select("id", F.explode(F.slice("nbrs", 1, 2 * k + 6)).alias("node")).union(queries.select("id", F.col("id").alias("node")))
+    least = F.coalesce(F.get("scores", F.lit(k)), F.lit(-9.0)) - MARGIN
+    close = F.filter(F.arrays_zip("nbrs", "scores"), lambda x, i: (i < 2 * k + 6) | (x["scores"] >= least))
+    near = found.select("id", F.explode(F.transform(close, lambda x: x["nbrs"])).alias("node")).union(queries.select("id", F.col("id").alias("node")))
     pairs = near.join(nodes.select(F.col("id").alias("node"), F.col("raw").alias("other"), "members"), "node")
     pairs = pairs.join(nodes.select("id", "raw"), "id").select("id", "members", "raw", "other")
     kind = np.float64 if "double" in vectors.schema[vector_col].dataType.simpleString() else np.float32
