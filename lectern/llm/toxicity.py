@@ -40,23 +40,26 @@ def segments(at: list[int], values: list[float], drift: float) -> list[tuple[int
     ``at`` and ``values`` are the places and weights of positive tokens; all other tokens
     weigh ``-drift``. Segments begin and end at positive tokens.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum through
+    # First, last, sum before, sum through, and the stacked place of the last one with a smaller
+    # sum before: what lies between is never looked at again, so the scan is linear.
+    stack: list[tuple[int, int, float, float, int]] = []
     total, place = 0.0, -1
     for i, v in zip(at, values):
         total -= drift * (i - place - 1)
         before, place = total, i
         total += v
-        first, last, left, right = i, i, before, total
+        first, left, right = i, before, total
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
                 break
-            first, left = stack[j][0], stack[j][2]
+            first, left, below = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-        stack.append((first, last, left, right))
-    return [(f, l, r - b) for f, l, b, r in stack]
+            j = below
+        stack.append((first, i, left, right, j))
+    return [(f, l, r - b) for f, l, b, r, _ in stack]
 
 
 def evidence(text: str | None, model: Model) -> tuple[float, int, list[tuple[int, int, float]]]:

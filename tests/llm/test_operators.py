@@ -334,6 +334,19 @@ def test_maximal_segments_equal_their_definition():
         assert sum(sum(scores[f : l + 1]) for f, l in found) == pytest.approx(sum(sum(scores[f : l + 1]) for f, l in brute_segments(scores)))
 
 
+def test_segments_equal_brute_force_one_by_one():
+    """Sums without ties: the very segments, and a text of as many segments as marked tokens."""
+    draw = random.Random(11)
+    for _ in range(60):
+        marked = [draw.random() < 0.5 for _ in range(22)]
+        scores = [draw.uniform(0.1, 3) if m else -1.0 for m in marked]
+        at = [i for i, m in enumerate(marked) if m]
+        found = [(f, l) for f, l, _ in toxicity.segments(at, [scores[i] for i in at], 1.0)]
+        assert found == brute_segments(scores)
+    places = list(range(0, 600_000, 3))
+    assert len(toxicity.segments(places, [1.0] * len(places), 1.0)) == len(places)
+
+
 def test_toxicity_without_labels_and_held_out(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
