@@ -249,16 +249,16 @@ def cut_tokens(texts):
 
 _ALIGN = (
     WORDS
-    + """, span AS (SELECT sentence_id AS context_id, w AS ord, word_id, word_form,
+    + """, span AS MATERIALIZED (SELECT sentence_id AS context_id, w AS ord, word_id, word_form,
   sum(length(word_form) + 1) OVER a - length(word_form) - 1 AS s0, sum(length(word_form) + 1) OVER a - 1 AS e0
   FROM words WINDOW a AS (PARTITION BY sentence_id ORDER BY w ROWS UNBOUNDED PRECEDING)),
 txt AS (SELECT sentence_id AS context_id, string_agg(word_form, ' ' ORDER BY w) AS text FROM words GROUP BY 1),
 tok0 AS (SELECT context_id, length(text) AS len, unnest(range(0, ((length(text) + 4) // 5)::BIGINT)) AS i FROM txt),
-tok AS (SELECT context_id, i AS token_ord, i * 5 AS token_start, least(i * 5 + 5, len) AS token_end FROM tok0
+tok AS MATERIALIZED (SELECT context_id, i AS token_ord, i * 5 AS token_start, least(i * 5 + 5, len) AS token_end FROM tok0
   UNION ALL SELECT context_id, (length(text) + 4) // 5, 0, 0 FROM txt),
 best AS (SELECT tok.context_id, tok.token_ord, arg_max(word_id, (least(token_end, e0) - greatest(token_start, s0)) * 1000000 - ord) AS word_id
   FROM tok JOIN span ON tok.context_id = span.context_id AND token_start < e0 AND s0 < token_end AND token_end > token_start GROUP BY 1, 2),
-assigned AS (SELECT tok.*, best.word_id, ln(1 + tok.token_start % 7) AS nll, ln(2 + tok.token_ord % 5) AS entropy
+assigned AS MATERIALIZED (SELECT tok.*, best.word_id, ln(1 + tok.token_start % 7) AS nll, ln(2 + tok.token_ord % 5) AS entropy
   FROM tok LEFT JOIN best ON tok.context_id = best.context_id AND tok.token_ord = best.token_ord)
 """
 )
