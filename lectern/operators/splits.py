@@ -87,6 +87,57 @@ def fold_counts(splits: DataFrame, key: str = "participant_id", group: str = "re
     ).drop("__overlap")
 
 
+def compact_folds(readers: DataFrame, k: int = 5, seed: int = 17) -> DataFrame:
+    """The splits of ``split_labels`` with a row per reader and split: ``split_name, fold_id, fold_rule, participant_id``.
+
+    ``all_but``: the reader is tested in this fold and trained on in every other fold of the
+    split. ``include`` and ``exclude``: in or out of a fold that tests nobody.
+    """
+    known = readers.where(F.col("reader_group_binary").isNotNull())
+    named = lambda name, rule: [F.lit(name).alias("split_name"), F.col("__fold").alias("fold_id"), rule.alias("fold_rule"), "participant_id"]
+    tested = F.lit("all_but")
+    singles = assign_leave_one_out(readers, "participant_id").select(*named("leave_one_participant_out", tested))
+    grouped = assign_grouped_folds(known, "participant_id", "reader_group_binary", k, seed).select(*named("participant_grouped_kfold", tested))
+    rule = F.when(F.col("reader_group") == "uncertain", "exclude").otherwise("include")
+    certain = readers.withColumn("__fold", F.lit(0)).select(*named("sensitivity_exclude_uncertain_labels", rule))
+    return singles.unionByName(grouped).unionByName(certain)
+
+
+def compact_fold_counts(folds: DataFrame, key: str = "participant_id", group: str = "reader_group", rows: str = "n_word_rows") -> DataFrame:
+    """What ``fold_counts`` gives, from compact folds: training is the split's total minus the fold's own.
+
+    Its rows grow with the units and not with units times folds. A unit under more than one
+    fold is tested in each and trained on in each, so those folds are not valid. Rows without
+    a fold or a key are left out.
+    """
+    named = folds.where(F.col("fold_id").isNotNull() & F.col(key).isNotNull())
+    units = named.groupBy("split_name", key).agg(
+        F.collect_set(F.struct("fold_id", "fold_rule")).alias("__in"), F.max(group).alias("__g"), F.max(F.coalesce(F.col(rows), F.lit(0))).alias("__rows"),
+    )
+    once = F.size("__in") == 1
+    placed = units.select("split_name", "__g", "__rows", once.alias("__once"), F.posexplode("__in").alias("__at", "f"))
+    placed = placed.select("*", F.col("f.fold_id").alias("fold_id"), F.col("f.fold_rule").alias("__rule"))
+    tests, plain = F.col("__rule") == "all_but", F.col("__rule") == "include"
+    measures = {"participants": F.lit(1), "word_rows": F.col("__rows")}
+    measures |= {g: (F.col("__g") == g).cast("int") for g in ("dyslexia_labeled", "typical_control")}
+    held = lambda test, m: F.sum(F.when(test, F.coalesce(m, F.lit(0))).otherwise(0)).cast("long")
+    own = placed.groupBy("split_name", "fold_id").agg(
+        *[held(tests, m).alias(f"n_test_{n}") for n, m in measures.items()],
+        *[held(tests & F.col("__once"), m).alias(f"__own_{n}") for n, m in measures.items()],
+        *[held(plain, m).alias(f"__plain_{n}") for n, m in measures.items()],
+        *[held(tests & (F.col("__at") == 0), m).alias(f"__first_{n}") for n, m in measures.items()],
+        F.count_if(tests & ~F.col("__once")).alias("__overlap"),
+    )
+    totals = own.groupBy("split_name").agg(*[F.sum(f"__first_{n}").alias(f"__all_{n}") for n in measures])
+    valid = F.col("__overlap") == 0
+    return own.join(totals, "split_name").select(
+        "split_name", "fold_id",
+        *[(F.col(f"__all_{n}") - F.col(f"__own_{n}") + F.col(f"__plain_{n}")).alias(f"n_train_{n}") for n in measures],
+        *[f"n_test_{n}" for n in measures],
+        valid.alias("split_valid"), F.when(valid, "").otherwise("participant_overlap_between_train_and_test").alias("skip_reason"),
+    )
+
+
 def split_labels(readers: DataFrame, rows_per_reader: DataFrame, k: int = 5, seed: int = 17) -> DataFrame:
     """All splits of the readers in one table, each row with its fold's counts and validity."""
     known = readers.where(F.col("reader_group_binary").isNotNull())

@@ -254,11 +254,11 @@ def split_labels(t: Tables):
 
 @query("a31_fold_counts", f"WITH {SPLITS} SELECT * FROM fc")
 def fold_counts(t: Tables):
-    """Counts per fold."""
-    return all_splits(t).select(
-        "split_name", "fold_id", "n_train_participants", "n_test_participants", "n_train_dyslexia_labeled", "n_train_typical_control",
-        "n_test_dyslexia_labeled", "n_test_typical_control", "n_train_word_rows", "n_test_word_rows", "split_valid", "skip_reason",
-    ).distinct()
+    """Counts per fold, from one row per reader and split."""
+    readers = grouped_readers(t)
+    counts = participants.reading_counts(panels.collapsed(t))
+    folds = splits.compact_folds(readers).join(readers.select("participant_id", "reader_group"), "participant_id", "left")
+    return splits.compact_fold_counts(folds.join(counts.select("participant_id", "n_word_rows"), "participant_id", "left"))
 
 
 @query(

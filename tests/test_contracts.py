@@ -88,3 +88,22 @@ def test_lineage_store_is_shared(spark):
     stored = cut_lineage(spark.range(5))
     folder = shared_folder(spark).split(":")[-1].lstrip("/")
     assert stored.count() == 5 and folder in stored.inputFiles()[0]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_compact_counts_equal_counts_of_all_rows(spark, repeated):
+    groups = ["dyslexia_labeled", "typical_control", "uncertain", None]
+    units = [(f"u{i}", i % 3, groups[i % 4], None if i == 5 else i + 1) for i in range(11)]
+    compact = [("plain", 0, "exclude" if g == "uncertain" else "include", u, g, n) for u, f, g, n in units]
+    units += [("u0", 1, groups[0], 1)] * repeated  # in two folds
+    names = "split_name string, fold_id int, fold_rule string, participant_id string, reader_group string, n_word_rows long"
+    full = [("kfold", fold, "test" if f == fold else "train", u, g, n) for u, f, g, n in units for fold in range(3)]
+    wanted = splits.fold_counts(spark.createDataFrame(full + compact, names.replace("fold_rule", "split_role")))
+    compact += [("kfold", f, "all_but", u, g, n) for u, f, g, n in units]
+    compact += [("kfold", None, "all_but", "x", None, 1), ("kfold", 1, "all_but", None, None, 1)]
+    found = splits.compact_fold_counts(spark.createDataFrame(compact, names))
+    # Classes and rows of a repeated unit count once in the compact form, once a row in the other.
+    rows = [c for c in wanted.columns if not repeated or "participants" in c or c in ("split_name", "fold_id", "split_valid", "skip_reason")]
+    as_rows = lambda df: sorted(map(tuple, df.select(rows).collect()))
+    assert as_rows(found) == as_rows(wanted)
+    assert splits.compact_fold_counts(spark.createDataFrame([], names)).count() == 0
