@@ -40,12 +40,15 @@ def mean_gram_frequency(
 
     Counts come from forms weighted by their tokens, so a frequent word costs
     one row, not one per occurrence. The weighted forms are stored: the corpus is read once.
+    An outer join keeps the exploded grams, which Spark takes for no larger than the stored
+    forms, from ever being the side that is broadcast; a form's grams lie in one task, so
+    their mean combines before the shuffle.
     """
     forms = cut_lineage(forms.groupBy(word).agg(F.sum(tokens).alias("__t")))
-    pieces = forms.select(word, "__t", F.explode(grams(word, n)).alias("__gram"))
-    counts = pieces.groupBy("__gram").agg(F.sum("__t").alias("__count"))
-    means = pieces.join(counts, "__gram").groupBy(word).agg(F.avg("__count").alias(name))
-    return forms.select(word).join(means, word, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    pieces = forms.select(word, "__t", F.explode_outer(grams(word, n)).alias("__gram"))
+    counts = pieces.where(F.col("__gram").isNotNull()).groupBy("__gram").agg(F.sum("__t").alias("__count"))
+    counted = pieces.drop("__t").join(counts, "__gram", "left")
+    return counted.groupBy(word).agg(F.coalesce(F.avg("__count"), F.lit(0.0)).alias(name))
 
 
 def neighbourhood(forms: DataFrame, length: str = "word_length_chars", word: str = "lowercase_form") -> DataFrame:
