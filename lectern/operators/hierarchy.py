@@ -65,6 +65,37 @@ def paragraphs_of(words: DataFrame) -> DataFrame:
     )
 
 
+def _mean_length(tokens: Column) -> Column:
+    chars = F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return chars / F.size(tokens)
+
+
+def sentence_table(sentences: DataFrame, keep: Sequence[str | Column]) -> DataFrame:
+    """What ``sentences_of`` gives, from a row per sentence with its ``tokens`` in order: no shuffle."""
+    tokens = F.col("tokens")
+    return sentences.where(F.size(tokens) > 0).select(
+        *keep,
+        F.array_join(tokens, " ").alias("sentence_text"),
+        F.size(tokens).cast("long").alias("sentence_length_words"),
+        _mean_length(tokens).alias("mean_word_length_chars"),
+    )
+
+
+def paragraph_table(paragraphs: DataFrame, keep: Sequence[str | Column]) -> DataFrame:
+    """What ``paragraphs_of`` gives, from a row per paragraph with the ``tokens`` of each piece: no shuffle."""
+    tokens = F.flatten("pieces")
+    held = paragraphs.select(*keep, tokens.alias("tokens"), F.size(F.filter("pieces", lambda x: F.size(x) > 0)).cast("long").alias("sentence_count"))
+    words = F.col("tokens")
+    kept = [c for c in held.columns if c not in ("tokens", "sentence_count")]
+    return held.where(F.size(words) > 0).select(
+        *kept,
+        F.array_join(words, " ").alias("paragraph_text"),
+        F.size(words).cast("long").alias("paragraph_length_words"),
+        "sentence_count",
+        _mean_length(words).alias("mean_word_length_chars"),
+    )
+
+
 def sentence_readability(words: DataFrame, long_word: Column, by: Sequence[str] = ("text_id", "paragraph_id", "sentence_id")) -> DataFrame:
     """Words, long words and LIX of each sentence, in one aggregation."""
     counted = words.groupBy(*by).agg(

@@ -15,3 +15,25 @@ def test_exploded_grams_are_never_the_broadcast_side(spark):
     assert "BuildLeft" not in plan(out)
     # ab: 2 * 2 + 3 = 7, ba: 2
     assert {r[0]: round(r[1], 6) for r in out.collect()} == {"abab": round(16 / 3, 6), "ab": 7.0, "a": 0.0, "": 0.0}
+
+
+def test_rollups_of_sentences_and_paragraphs_move_no_rows(spark):
+    from lectern.queries import QUERIES
+
+    for name in ("a02_sentence_rollup", "a03_paragraph_rollup"):
+        shown = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert shown.count("Exchange") - shown.count("REPARTITION_BY_NUM") == 0, name
+
+
+def test_rollups_in_the_row_equal_rollups_of_words(spark):
+    from lectern.operators import hierarchy
+    from lectern.plans import corpus
+
+    texts = spark.createDataFrame([(1, "a bb. ! c\n\n .x y"), (2, ""), (3, None), (4, " \n d")], "doc_id long, text string")
+    words = corpus.words_from_texts(texts)
+    keep = ["text_id", corpus.paragraph_id().alias("paragraph_id")]
+    got = hierarchy.paragraph_table(corpus.paragraphs_from_texts(texts), keep)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, hierarchy.paragraphs_of(words).collect()))
+    keep.append(corpus.sentence_id().alias("sentence_id"))
+    got = hierarchy.sentence_table(corpus.sentences_from_texts(texts), keep)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, hierarchy.sentences_of(words).collect()))
