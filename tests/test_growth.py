@@ -37,3 +37,56 @@ def test_rollups_in_the_row_equal_rollups_of_words(spark):
     keep.append(corpus.sentence_id().alias("sentence_id"))
     got = hierarchy.sentence_table(corpus.sentences_from_texts(texts), keep)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, hierarchy.sentences_of(words).collect()))
+
+
+def test_alignment_in_the_row_equals_the_join(spark):
+    import random
+
+    from lectern.operators import alignment
+
+    draw = random.Random(5)
+    rows = []
+    for c in range(40):
+        words = ["x" * draw.randint(1, 6) for _ in range(draw.choice([1, 2, 9, 60]))]
+        starts = [sum(len(v) + 1 for v in words[:i]) for i in range(len(words))]
+        text = " ".join(words)
+        spans = [(i + 1, f"{c}_{i}", s, s + len(v), v) for i, (s, v) in enumerate(zip(starts, words))]
+        tokens = []
+        for k in range(draw.randint(0, 50)):  # in any order, overlapping, empty, outside the text
+            a = draw.randint(-3, len(text) + 3)
+            tokens.append((k, a, a + draw.randint(0, 12), draw.choice([None, draw.random()]), draw.choice([None, draw.random()])))
+        rows.append((str(c), text, spans, tokens))
+    span, token = "array<struct<ord:int,word_id:string,start:int,end:int,word_form:string>>", "array<struct<token_ord:int,token_start:int,token_end:int,nll:double,entropy:double>>"
+    held = spark.createDataFrame(rows, f"context_id string, text string, spans {span}, tokens {token}").repartition(3)
+    given = alignment.best_covers(F.col("spans.start"), F.col("spans.end"), F.col("tokens.token_start"), F.col("tokens.token_end"))
+    placed = held.withColumn("assigned", given)
+    placed.collect()
+    starts = held.select("spans", alignment.joined_starts(F.transform("spans", lambda x: F.length(x["word_form"]))).alias("s")).collect()
+    assert all([x.start for x in r.spans] == r.s for r in starts)
+
+    words, tokens = held.select("context_id", F.inline("spans")), held.select("context_id", F.inline("tokens"))
+    assigned = alignment.align_tokens(tokens, words)
+    want = {(r.context_id, r.token_ord): r.word_id for r in assigned.collect()}
+    got = {}
+    for r in placed.collect():
+        for x, at in zip(r.tokens, r.assigned):
+            got[r.context_id, x.token_ord] = None if at is None else r.spans[at].word_id
+    assert got == want
+
+    flat = lambda rs: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rs], key=repr)
+    scored, real = F.transform("tokens", lambda x: x["token_ord"] > 0), F.transform("tokens", lambda x: x["token_end"] > x["token_start"])
+    scores = alignment.scores_in_row(F.size("spans"), F.col("assigned"), real, scored, F.col("tokens.nll"), F.col("tokens.entropy"))
+    out = placed.select("context_id", F.col("spans.word_id").alias("ids"), scores.alias("scores")).select("context_id", F.inline(F.arrays_zip("ids", "scores")))
+    assert flat(out.select("context_id", "ids", "scores.*").collect()) == flat(alignment.word_scores(assigned, words).collect())
+
+    kept = placed.where(F.size("tokens") > 0)
+    report = alignment.validate_alignment(assigned, words, held.select("context_id", "text"))
+    assert flat(alignment.validate_in_rows(kept).collect()) == flat(report.join(kept.select("context_id"), "context_id", "left_semi").collect())
+
+
+def test_alignment_queries_move_no_rows(spark):
+    from lectern.queries import QUERIES
+
+    for name in ("j06_token_word_alignment", "a33_word_scores", "a34_alignment_validation"):
+        shown = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert shown.count("Exchange") == shown.count("REPARTITION_BY_NUM"), name
