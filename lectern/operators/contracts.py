@@ -81,6 +81,28 @@ def one_test_per_fold(splits: DataFrame, split_name: str, check: str = "one_test
     return _named(check, tests.agg(F.count_if(F.col("n") != 1).alias("violations")))
 
 
+def compact_split_checks(folds: DataFrame, once: str, one_each: str, key: str = "participant_id") -> DataFrame:
+    """The four checks above from compact folds (``splits.compact_folds``): a row a unit and split, not a row a unit and fold.
+
+    A unit under several folds is tested in each and trained on in each; a named split of n units
+    and m folds stands for n x m rows.
+    """
+    tested = F.col("fold_rule") == "all_but"
+    units = folds.groupBy("split_name", key).agg(F.count_if(tested).alias("n"), F.countDistinct(F.when(tested, F.col("fold_id"))).alias("m"))
+    leaks = units.agg(F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("m"))), F.lit(0)).alias("violations"))
+    random = folds.where(F.col("split_name").rlike("(?i)random")).groupBy("split_name").agg(
+        F.when(F.bool_and(tested), F.countDistinct(key) * F.countDistinct("fold_id")).otherwise(F.count(F.lit(1))).alias("n")
+    )
+    not_once = units.where(F.col("split_name") == once).agg(F.count_if(F.col("n") != 1).alias("violations"))
+    per_fold = folds.where(F.col("split_name") == one_each).groupBy("fold_id").agg(F.count_if(tested).alias("n"))
+    return suite(
+        _named("group_leakage", leaks),
+        _named("random_split_name", random.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))),
+        _named("tested_once", not_once),
+        _named("one_test_per_fold", per_fold.agg(F.count_if(F.col("n") != 1).alias("violations"))),
+    )
+
+
 def above_limit(report: DataFrame, limits: Mapping[str, float], check: str = "limit") -> DataFrame:
     """One row per limited column of a one-row report; a violation when the value exceeds its limit."""
     items = [

@@ -90,3 +90,35 @@ def test_alignment_queries_move_no_rows(spark):
     for name in ("j06_token_word_alignment", "a33_word_scores", "a34_alignment_validation"):
         shown = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert shown.count("Exchange") == shown.count("REPARTITION_BY_NUM"), name
+
+
+def test_compact_split_checks_equal_those_over_all_rows(spark):
+    from lectern.operators import contracts
+
+    names = "split_name string, fold_id int, fold_rule string, participant_id string"
+    compact = [("a", f, "all_but", u) for u, f in (("x", 0), ("y", 1), ("z", 1), ("x", 2))]
+    compact += [("random b", 0, "all_but", "x"), ("random b", 1, "all_but", "y"), ("c", 0, "include", "x"), ("c", 0, "exclude", "y")]
+    full = [(s, f, "test" if f == own else "train", u) for s, own, r, u in compact if r == "all_but" for f in sorted({c[1] for c in compact if c[0] == s})]
+    full += [c for c in compact if c[2] != "all_but"]
+    rows = spark.createDataFrame(full, names.replace("fold_rule", "split_role")).where("split_name <> 'a' OR participant_id <> 'x'")
+    doubled = spark.createDataFrame([("a", f, r, "x") for f, r in ((0, "test"), (0, "train"), (1, "train"), (2, "test"), (2, "train"))], rows.schema)
+    rows = rows.unionByName(doubled)
+    for once, each in (("a", "a"), ("random b", "random b"), ("c", "c")):
+        want = contracts.suite(
+            contracts.group_leakage(rows), contracts.no_random_splits(rows), contracts.tested_once(rows, once), contracts.one_test_per_fold(rows, each)
+        )
+        got = contracts.compact_split_checks(spark.createDataFrame(compact, names), once, each)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_split_tables_move_no_exploded_rows(spark):
+    from lectern.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("v06_v07_split_checks", "u02_union_of_split_tables"):
+        assert "leave_one" not in name and plan(QUERIES[name](spark, folder)).count("Generate explode(sequence(0, (cast(__n") == 0, name
+    shown = plan(QUERIES["x04_a31_split_labels"](spark, folder))
+    assert "BroadcastHashJoin [split_name" in shown
+    for name in ("x02_j14_leave_one_reader_out", "x04_a31_split_labels", "x05_exposure_balanced_splits"):
+        frame = QUERIES[name](spark, folder)
+        assert "REPARTITION_BY_NUM" in plan(frame), name  # dealt out before they are exploded
