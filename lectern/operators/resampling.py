@@ -58,7 +58,8 @@ def bootstrap_weights(scores: DataFrame, unit: str, iterations: int, seed: int,
         "iteration", F.pmod(md5_int(F.lit(seed), F.col("iteration"), F.col("__r")), F.col("__n")).alias("__pick")
     )
     counts = draws.groupBy("iteration", "__pick").agg(F.count(F.lit(1)).alias("weight"))
-    return counts.join(ranked.select(F.col("__r").alias("__pick"), unit, *keep), "__pick").drop("__pick")
+    # Merged: the draws come from a few units' rows times the iterations, so no size guessed from those may broadcast them.
+    return counts.join(ranked.select(F.col("__r").alias("__pick"), unit, *keep).hint("merge"), "__pick").drop("__pick")
 
 
 def bootstrap_interval(

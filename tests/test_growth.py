@@ -122,3 +122,16 @@ def test_split_tables_move_no_exploded_rows(spark):
     for name in ("x02_j14_leave_one_reader_out", "x04_a31_split_labels", "x05_exposure_balanced_splits"):
         frame = QUERIES[name](spark, folder)
         assert "REPARTITION_BY_NUM" in plan(frame), name  # dealt out before they are exploded
+
+
+def test_chunked_rows_are_not_broadcast(spark):
+    from lectern.operators import resampling, sequence
+
+    df = spark.createDataFrame([("a", 3), ("a", None), (None, 1), (None, 2), ("a", 9), (None, None)], "k string, o int")
+    out = sequence.ordered_features(df, ["k"], ["o"], chunk=sequence.by_rows("o", 2), index="i", size="n")
+    assert "BroadcastHashJoin" not in plan(out)
+    got = sorted((r.k or "", -1 if r.o is None else r.o, r.i, r.n) for r in out.collect())
+    assert got == [("", -1, 0, 3), ("", 1, 1, 3), ("", 2, 2, 3), ("a", -1, 0, 3), ("a", 3, 1, 3), ("a", 9, 2, 3)]
+    scores = spark.createDataFrame([(f"u{i}", i % 2, i / 10) for i in range(10)], "u string, y_true int, y_score double")
+    assert "BroadcastHashJoin" not in plan(resampling.permutation_test(scores, "u", 3))
+    assert "BroadcastHashJoin" not in plan(resampling.bootstrap_weights(scores, "u", 3, 1, []))
