@@ -135,3 +135,10 @@ def test_chunked_rows_are_not_broadcast(spark):
     scores = spark.createDataFrame([(f"u{i}", i % 2, i / 10) for i in range(10)], "u string, y_true int, y_score double")
     assert "BroadcastHashJoin" not in plan(resampling.permutation_test(scores, "u", 3))
     assert "BroadcastHashJoin" not in plan(resampling.bootstrap_weights(scores, "u", 3, 1, []))
+
+
+def test_split_tables_build_the_panel_once(spark):
+    from lectern.queries import QUERIES
+
+    for name in ("u02_union_of_split_tables", "x04_a31_split_labels"):
+        assert "l_orderkey" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
