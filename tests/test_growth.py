@@ -142,3 +142,11 @@ def test_split_tables_build_the_panel_once(spark):
 
     for name in ("u02_union_of_split_tables", "x04_a31_split_labels"):
         assert "l_orderkey" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_resampling_broadcasts_neither_rows_nor_draws(spark):
+    from lectern.queries import QUERIES
+
+    for name in ("m10_permutation_test", "m11_bootstrap_interval"):
+        joins = [line for line in plan(QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines() if "BroadcastHashJoin" in line]
+        assert not [line for line in joins if "__pick" in line or "__chunk" in line], name
