@@ -33,14 +33,27 @@ def signed_cell(token: Column, dimensions: int) -> Column:
 
 
 def signed_vector(tokens: Column, dimensions: int = 16) -> Column:
-    """Feature hashing of a token array: each token adds its sign in its dimension.
+    """Feature hashing of a token array: each token adds its sign in its dimension (at most 256).
 
-    Needs no vocabulary, and md5 gives the same vector in any SQL engine.
+    Needs no vocabulary, and md5 gives the same vector in any SQL engine. A token becomes one
+    character that names its cell, and a cell's tokens are the characters of its kind, so the work
+    per token is a digest and not a step in every dimension.
     """
-    cells = F.transform(tokens, lambda t: signed_cell(t, dimensions))
-    zero = F.array_repeat(F.lit(0), dimensions)
+    digits = "0123456789abcdef"
+    names = "".join(chr(33 + i) for i in range(2 * dimensions))
 
-    def add(total: Column, cell: Column) -> Column:
-        return F.transform(total, lambda x, i: F.when(i == cell["d"], x + cell["g"]).otherwise(x))
+    def cell(digest: Column) -> Column:
+        second, third = [F.instr(F.lit(digits), F.substring(digest, i, 1)) - 1 for i in (2, 3)]
+        at = second
+        if dimensions != 16:  # the first digit counts sixteens
+            at = ((F.instr(F.lit(digits), F.substring(digest, 1, 1)) - 1) * 16 + second) % dimensions
+        return F.substr(F.lit(names), at + F.when(third < 8, 1).otherwise(1 + dimensions), F.lit(1))
 
-    return F.aggregate(cells, zero, add)
+    def number(cells: Column, i: int) -> Column:
+        return F.length(cells) - F.length(F.replace(cells, F.lit(names[i]), F.lit("")))
+
+    def vector(cells: Column) -> Column:
+        return F.array(*[number(cells, d) - number(cells, dimensions + d) for d in range(dimensions)])
+
+    named = F.array_join(F.transform(F.transform(tokens, F.md5), cell), "")
+    return F.when(tokens.isNotNull(), F.get(F.transform(F.array(named), vector), F.lit(0)))

@@ -5,32 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.operators.scalars import with_totals
 from lectern.session import cut_lineage
 
 
-def bigram_model(words: DataFrame, word: str = "word_form", previous: str = "prev_word", alpha: float = 0.5) -> DataFrame:
-    """Smoothed bigram scores: surprisal of each (previous, word) and entropy after each previous word.
+ALPHA = 0.5
 
-    The corpus is read once, into the stored pair counts that all later steps use. Contexts keep their unseen mass in closed form:
-    (V - k) words of probability alpha / (n + alpha V) each.
+
+def pair_counts(words: DataFrame, word: str = "word_form", previous: str = "prev_word") -> DataFrame:
+    """Stored counts of (previous, word), those without a previous word included: the corpus is read once."""
+    return cut_lineage(words.groupBy(previous, word).agg(F.count(F.lit(1)).alias("pair_count")))
+
+
+def contexts(counts: DataFrame, word: str = "word_form", previous: str = "prev_word", alpha: float = ALPHA) -> DataFrame:
+    """Smoothed mass and next-word entropy of each previous word, from pair counts.
+
+    Contexts keep their unseen mass in closed form: (V - k) words of probability alpha / (n + alpha V) each.
     """
-    counts = cut_lineage(words.groupBy(previous, word).agg(F.count(F.lit(1)).alias("pair_count")))
     pairs = counts.where(F.col(previous).isNotNull())
     size = counts.agg(F.countDistinct(word).alias("__v"))
     smoothed = F.col("pair_count") + alpha
-    contexts = pairs.groupBy(previous).agg(
+    found = pairs.groupBy(previous).agg(
         F.sum("pair_count").alias("__n"), F.count(F.lit(1)).alias("__k"), F.sum(smoothed * F.ln(smoothed)).alias("__s")
     )
-    contexts = with_totals(contexts, size)
+    found = with_totals(found, size)
     mass, unseen = F.col("__n") + alpha * F.col("__v"), F.col("__v") - F.col("__k")
     # -sum p ln p over seen words, with p = (count + alpha) / mass, plus the unseen words' share
     seen = F.ln(mass) * (F.col("__n") + alpha * F.col("__k")) / mass - F.col("__s") / mass
-    contexts = contexts.select(previous, mass.alias("__mass"), (seen - unseen * (alpha / mass) * F.ln(alpha / mass)).alias("entropy"))
-    scored = pairs.join(contexts, previous)
-    return scored.select(previous, word, "pair_count", (F.ln("__mass") - F.ln(smoothed)).alias("surprisal"), "entropy")
+    return found.select(previous, mass.alias("__mass"), (seen - unseen * (alpha / mass) * F.ln(alpha / mass)).alias("entropy"))
+
+
+def pair_surprisal(alpha: float = ALPHA) -> Column:
+    """Surprisal of a pair beside its context's mass."""
+    return F.ln("__mass") - F.ln(F.col("pair_count") + alpha)
+
+
+def bigram_model(words: DataFrame, word: str = "word_form", previous: str = "prev_word", alpha: float = ALPHA) -> DataFrame:
+    """Smoothed bigram scores: surprisal of each (previous, word) and entropy after each previous word."""
+    counts = pair_counts(words, word, previous)
+    scored = counts.where(F.col(previous).isNotNull()).join(contexts(counts, word, previous, alpha), previous)
+    return scored.select(previous, word, "pair_count", pair_surprisal(alpha).alias("surprisal"), "entropy")
 
 
 def attach_scores(words: DataFrame, model: DataFrame, word: str = "word_form", previous: str = "prev_word") -> DataFrame:

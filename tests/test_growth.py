@@ -150,3 +150,61 @@ def test_resampling_broadcasts_neither_rows_nor_draws(spark):
     for name in ("m10_permutation_test", "m11_bootstrap_interval"):
         joins = [line for line in plan(QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines() if "BroadcastHashJoin" in line]
         assert not [line for line in joins if "__pick" in line or "__chunk" in line], name
+
+
+def test_signed_vectors_equal_brute_force(spark):
+    import hashlib
+
+    from lectern.functions import hashing
+
+    lists = [["a", "b", "a", "ø", ""], [], None, ["x"] * 300 + [f"w{i}" for i in range(500)], ["a", None, "b"]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, ts array<string>")
+    for dimensions in (3, 16, 256):
+        got = {r.i: r.v for r in rows.select("i", hashing.signed_vector(F.col("ts"), dimensions).alias("v")).collect()}
+        for i, words in enumerate(lists):
+            want = None if words is None else [0] * dimensions
+            for word in words or []:
+                if word is not None:
+                    digest = hashlib.md5(word.encode()).hexdigest()
+                    want[int(digest[:2], 16) % dimensions] += 1 if digest[2] < "8" else -1
+            assert got[i] == want, (dimensions, i)
+
+
+def test_signed_vectors_take_no_step_per_token_and_dimension(spark):
+    from lectern.functions import hashing
+
+    rows = spark.createDataFrame([(["a"],)], "ts array<string>")
+    assert "array_repeat" not in plan(rows.select(hashing.signed_vector(F.col("ts"))))
+
+
+def test_drift_of_long_sentences_and_of_single_ones(spark):
+    from lectern.plans import corpus_features
+
+    long = " ".join(["w"] * 70000)  # its product with itself passes 32 bits
+    texts = spark.createDataFrame([(1, f"{long}. {long}."), (2, "one only"), (3, None), (4, " . ! a b. \n c. d.")], "doc_id long, text string")
+    rows = {(r.text_id, r.p): r for r in corpus_features.paragraph_cohesion(texts).collect()}
+    assert set(rows) == {("1", 1), ("4", 1), ("4", 2)}
+    assert rows["1", 1].paragraph_cohesion > 0.99 and rows["1", 1].sentence_count_embedded == 2
+
+
+def test_words_of_the_corpus_move_once_and_are_not_united(spark):
+    from lectern.plans import corpus_features
+
+    texts = spark.createDataFrame([(1, "A cat sat. A cat ran!\nOne only . ! -"), (2, ""), (3, None)], "doc_id long, text string")
+    out = corpus_features.word_features(texts)
+    shown = plan(out)
+    assert "Union" not in shown and "hashpartitioning(text_id" not in shown
+    rows = out.collect()
+    assert {r.word_id for r in rows if r.missing_lexical} == {"1_p2_s1_w3", "1_p2_s2_w1", "1_p2_s3_w1"}
+    assert all(r.missing_lm == (r.w == 1) for r in rows)
+
+
+def test_texts_need_ids_of_their_own(spark):
+    import pytest
+
+    from lectern.plans import corpus_features
+
+    for ids in ([1, 1], [1, None]):
+        texts = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+        with pytest.raises(Exception, match="an id is null or not unique"):
+            corpus_features.word_features(texts).collect()
