@@ -208,3 +208,25 @@ def test_texts_need_ids_of_their_own(spark):
         texts = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
         with pytest.raises(Exception, match="an id is null or not unique"):
             corpus_features.word_features(texts).collect()
+
+
+def test_first_rows_of_groups_are_found_without_sorting_rows(spark, monkeypatch):
+    import random
+
+    from lectern.operators import boundaries
+    from lectern.queries import QUERIES
+
+    shown = plan(QUERIES["w09_boundary_examples"](spark, "/root/testdata/sf0.001"))
+    assert "WindowGroupLimit" not in shown.split("MapInArrow")[-1] and "MapInArrow" in shown
+    draw = random.Random(3)
+    names = [None, "", "a", "Z", "é", "\U0001f600", "￿", "aa"]
+    data = [(draw.choice([None, "x", "y", f"g{i % 50}"]), f"{draw.choice(names) or ''}{i}" if i % 9 else None if i == 9 else f"n{i}", i) for i in range(4000)]
+    rows = spark.createDataFrame(data, "g string, o string, i int").repartition(5)
+    for held in (100_000, 3):
+        monkeypatch.setattr(boundaries, "HELD", held)
+        got = boundaries.examples_per_group(rows, "g", "o", 4, ["g", "o", "i"]).collect()
+        want = []
+        for g in {d[0] for d in data}:
+            want += sorted([d for d in data if d[0] == g], key=lambda d: (d[1] is not None, (d[1] or "").encode()))[:4]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert boundaries.examples_per_group(rows.limit(0), "g", "o", 4, ["g", "i"]).collect() == []
