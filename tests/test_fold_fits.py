@@ -190,3 +190,38 @@ def test_left_out_logistic_of_one_class(spark):
     df = spark.createDataFrame([("a", 1.0, 0), ("a", 2.0, 0), ("b", 3.0, 1), ("b", 2.5, 0)], "u string, x double, y int")
     got = {r["u"]: (r["status"], r["coefficients"]) for r in left_out_logistic(df, "u", "y", ["x"]).collect()}
     assert got["b"] == ("one_class", None) and got["a"][0] == "converged"
+
+
+# --- leaving out one row each: the fit in the row ------------------------------------
+
+
+@pytest.mark.parametrize("loss", ["logistic", "squared_hinge"])
+def test_rows_left_out_are_fitted_in_their_row(spark, loss):
+    """Equal to fits over all rows; nearly no unit needs one, so no pass multiplies rows with fits."""
+    from lectern.operators import one_out
+
+    rng = np.random.default_rng(3)
+    n = 6000
+    frame = pd.DataFrame({"u": [f"P{i:05d}" for i in range(n)], "label": rng.integers(0, 2, n)})
+    frame["f"] = frame.label * 0.8 + rng.normal(size=n) + 300
+    frame["g"] = np.where(rng.random(n) < 0.1, np.nan, rng.normal(size=n) * 5 + frame.f)
+    frame["h"] = 2.5
+    df = spark.createDataFrame(frame).withColumn("g", F.when(~F.isnan("g"), F.col("g")))
+    assigned = splits.assign_leave_one_out(df, "u")
+    groups = {"all": FEATURES, "some": ["g"]}
+    rows = fold_fits.fold_rows(df, assigned, "u", FEATURES, "label")
+    passes = []
+    over_rows, fold_fits.fit = fold_fits.fit, lambda r, f, fits, *a, **k: passes.append(len(fits)) or over_rows(r, f, fits, *a, **k)
+    try:
+        got, fitted = learning.cross_validate(df, assigned, "u", FEATURES, "label", groups=groups, loss=loss)
+    finally:
+        fold_fits.fit = over_rows
+    assert len(fitted.fits) == 2 * n and sum(passes) < n / 10, passes
+    assert {tuple(r) for r in fitted.statuses.collect()} == {("all", n, 0, 0, 0), ("some", n, 0, 0, 0)}
+    got = got.toPandas().set_index(["feature_group", "fold_id"]).y_score
+    some = [0, 1, 2, *rng.integers(0, n, 20).tolist(), int(frame.f.argmax()), int(frame.g.argmin())]
+    exact = over_rows(rows, FEATURES, fold_fits.Fits.grid([-1], sorted(set(some)), groups=2), list(groups.values()), loss=loss)
+    want = fold_fits.scored(exact, "u", list(groups)).toPandas()
+    assert len(got) == 2 * n and len(want) == 2 * len(set(some))
+    assert max(abs(got[r.feature_group, r.fold_id] - r.y_score) for r in want.itertuples()) < 1e-8
+    assert one_out.one_row_a_unit(rows) and not one_out.one_row_a_unit(rows.unionByName(rows))
