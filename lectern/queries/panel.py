@@ -10,6 +10,7 @@ from lectern.operators.scalars import zscored
 from lectern.plans import panels
 from lectern.queries.registry import Tables, query
 from lectern.queries.sql import sql_slope, with_panel
+from lectern.session import cut_lineage
 
 MEASURES = "FFD GD TRT go_past_time fixation_count refixation_count"
 
@@ -157,8 +158,12 @@ def join_and_coalesce(t: Tables):
     "surprisal_sensitivity entropy_sensitivity median_ffd median_gd median_trt trt_q90",
 )
 def reader_aggregates(t: Tables):
-    """Reader-level gaze profile."""
-    return panel.reader_aggregates(panels.word_level(t))
+    """Reader-level gaze profile. Means and quantiles read the panel, so it is stored."""
+    columns = [
+        "participant_id", "word_id", "label", "FFD", "GD", "TRT", "skip", "refixation_count", "go_past_time",
+        "word_length_chars", "log_corpus_frequency", "lm_word_surprisal", "lm_word_entropy",
+    ]
+    return panel.reader_aggregates(cut_lineage(panels.word_level(t).select(*columns)))
 
 
 @query(
