@@ -64,7 +64,10 @@ PREDICTORS = ["word_length_chars", "log_corpus_frequency", "lm_word_surprisal",
 @query("m04_cross_fitted_many_predictors")
 def cross_fitted_many(t: Tables):
     """Seven predictors and text dummies, median-imputed; mean squared residual per reader."""
-    rows = linear.impute_medians(complete_rows(t), PREDICTORS)
+    from lectern.session import cut_lineage
+
+    raw = cut_lineage(complete_rows(t).select("participant_id", "text_id", OUTCOME, *PREDICTORS))
+    rows = cut_lineage(linear.impute_medians(raw, PREDICTORS))  # medians, levels, sums and residuals each read the rows
     dummies = linear.dummy_columns("text_id", linear.category_levels(rows, "text_id"))
     out = linear.cross_fitted_residuals(rows.withColumns(dummies), "participant_id", OUTCOME, [*PREDICTORS, *dummies], "r")
     return out.groupBy("participant_id").agg(F.avg(F.col("r") * F.col("r")).alias("mean_squared_residual"), F.count("r").alias("rows"))
