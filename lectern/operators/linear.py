@@ -264,11 +264,14 @@ def _cluster_meat(held: DataFrame, predictors: Sequence[str], cluster: str):
 
 
 def logistic_clustered(df: DataFrame, outcome: str, predictors: Sequence[str], cluster: str, iterations: int = 100) -> DataFrame:
-    """Binomial GLM with cluster-robust errors: distributed Newton fit, then one sandwich pass."""
+    """Binomial GLM with cluster-robust errors: distributed Newton fit, then one sandwich pass.
+
+    The complete rows are stored, as the steps, the curvature and the scores of clusters each read them.
+    """
     from lectern.functions.numeric import sigmoid
     from lectern.operators.learning import fit_linear_classifiers
 
-    rows = _complete(df, predictors, outcome, [cluster]).withColumn("__one", F.lit(1))
+    rows = cut_lineage(_complete(df, predictors, outcome, [cluster])).withColumn("__one", F.lit(1))
     fitted = fit_linear_classifiers(rows, ["__one"], predictors, outcome, penalty=0.0, iterations=iterations)
     held = with_totals(rows, fitted.select("coefficients")).withColumn("__p", sigmoid(prediction(predictors)))
     held = held.withColumns({"__e": F.col(outcome) - F.col("__p"), "__w": F.col("__p") * (1 - F.col("__p"))})

@@ -230,3 +230,11 @@ def test_first_rows_of_groups_are_found_without_sorting_rows(spark, monkeypatch)
             want += sorted([d for d in data if d[0] == g], key=lambda d: (d[1] is not None, (d[1] or "").encode()))[:4]
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert boundaries.examples_per_group(rows.limit(0), "g", "o", 4, ["g", "i"]).collect() == []
+
+
+def test_panel_is_worked_out_once(spark):
+    from lectern.queries import QUERIES
+
+    for name in ("a06_a07_reader_aggregates", "m04_cross_fitted_many_predictors", "m18_clustered_logistic"):
+        read = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert not any("lineitem" in f for f in read), name
