@@ -238,3 +238,19 @@ def test_panel_is_worked_out_once(spark):
     for name in ("a06_a07_reader_aggregates", "m04_cross_fitted_many_predictors", "m18_clustered_logistic"):
         read = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert not any("lineitem" in f for f in read), name
+
+
+def test_panel_rows_are_dealt_over_more_tasks_as_the_lines_grow(spark, monkeypatch):
+    from lectern.plans import panels
+    from lectern.queries.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    columns = ["participant_id", "word_id", "FFD", "go_past_time", "skip", "text_id", "source_observation_count", "label", "upos"]
+    rows = lambda: sorted(map(tuple, panels.word_level(t).select(*columns).collect()), key=repr)
+    want, few = rows(), plan(panels.collapsed(t))
+    assert "REPARTITION_BY_NUM" not in few
+    monkeypatch.setattr(panels, "LINES_A_TASK", 500)
+    parts = panels.tasks(t)
+    assert parts == -(-t.lineitem.count() // 500) and rows() == want
+    shown = plan(panels.collapsed(t))
+    assert f"hashpartitioning(participant_id" in shown and f"word_id" in shown and f", {parts}), REPARTITION_BY_NUM" in shown
