@@ -12,6 +12,8 @@ from lectern.session import cut_lineage
 
 
 ALPHA = 0.5
+#: A model of more pairs is not broadcast; words are then looked up in a hash table of its part and not sorted.
+MANY_PAIRS = 200_000
 
 
 def pair_counts(words: DataFrame, word: str = "word_form", previous: str = "prev_word") -> DataFrame:
@@ -46,7 +48,8 @@ def bigram_model(words: DataFrame, word: str = "word_form", previous: str = "pre
     """Smoothed bigram scores: surprisal of each (previous, word) and entropy after each previous word."""
     counts = pair_counts(words, word, previous)
     scored = counts.where(F.col(previous).isNotNull()).join(contexts(counts, word, previous, alpha), previous)
-    return scored.select(previous, word, "pair_count", pair_surprisal(alpha).alias("surprisal"), "entropy")
+    scored = scored.select(previous, word, "pair_count", pair_surprisal(alpha).alias("surprisal"), "entropy")
+    return scored.hint("shuffle_hash") if counts.count() > MANY_PAIRS else scored
 
 
 def attach_scores(words: DataFrame, model: DataFrame, word: str = "word_form", previous: str = "prev_word") -> DataFrame:
