@@ -10,6 +10,11 @@ from lectern.session import cut_lineage
 POS_TAGS = ("ADP", "NOUN", "PART", "PROPN", "SCONJ", "VERB")
 
 
+def lowercase_form(word: str) -> Column:
+    """The form that lexical columns are counted by; none without a letter or digit."""
+    return F.when(F.col(word).rlike(r"[\p{L}\p{Nd}]"), F.lower(word))
+
+
 def frequencies(forms: DataFrame, word: str = "lowercase_form", tokens: str = "tokens") -> DataFrame:
     """Corpus frequency, its log1p and the dense rank of the frequency.
 

@@ -33,10 +33,22 @@ def contexts(counts: DataFrame, word: str = "word_form", previous: str = "prev_w
         F.sum("pair_count").alias("__n"), F.count(F.lit(1)).alias("__k"), F.sum(smoothed * F.ln(smoothed)).alias("__s")
     )
     found = with_totals(found, size)
-    mass, unseen = F.col("__n") + alpha * F.col("__v"), F.col("__v") - F.col("__k")
+    mass, entropy = _context_scores(F.col("__n"), F.col("__k"), F.col("__s"), F.col("__v"), alpha)
+    return found.select(previous, mass.alias("__mass"), entropy.alias("entropy"))
+
+
+def _context_scores(n: Column, k: Column, s: Column, size: Column, alpha: float) -> tuple[Column, Column]:
+    mass, unseen = n + alpha * size, size - k
     # -sum p ln p over seen words, with p = (count + alpha) / mass, plus the unseen words' share
-    seen = F.ln(mass) * (F.col("__n") + alpha * F.col("__k")) / mass - F.col("__s") / mass
-    return found.select(previous, mass.alias("__mass"), (seen - unseen * (alpha / mass) * F.ln(alpha / mass)).alias("entropy"))
+    seen = F.ln(mass) * (n + alpha * k) / mass - s / mass
+    return mass, seen - unseen * (alpha / mass) * F.ln(alpha / mass)
+
+
+def context_scores(forms: DataFrame, alpha: float = ALPHA) -> list[Column]:
+    """``mass`` and ``entropy`` of rows with a form's sums ``n, k, s`` over the words after it; ``forms`` has a row for every form."""
+    size = forms.agg(F.count(F.lit(1)).alias("v")).scalar()
+    mass, entropy = _context_scores(F.col("n"), F.col("k"), F.col("s"), size, alpha)
+    return [mass.alias("mass"), entropy.alias("entropy")]
 
 
 def pair_surprisal(alpha: float = ALPHA) -> Column:
