@@ -69,6 +69,22 @@ def attach_scores(words: DataFrame, model: DataFrame, word: str = "word_form", p
     return words.join(model.drop("pair_count"), [previous, word], "left")
 
 
+def sentence_sums(sentences: DataFrame) -> DataFrame:
+    """Words, scored words and their scores per ``sentence_id``, from rows that hold the ``scores`` of a sentence's words; ids may repeat."""
+    known = F.filter("scores", lambda x: x["surprisal"].isNotNull())
+    total = lambda c: F.aggregate(F.col("known"), F.lit(0.0), lambda a, x: a + x[c])
+    rows = sentences.where(F.size("scores") > 0).withColumn("known", known)
+    scored = F.size("known")
+    rows = rows.select(
+        "sentence_id", F.size("scores").alias("words"), scored.alias("scored"),
+        F.when(scored > 0, total("surprisal")).alias("surprisal"), F.when(scored > 0, total("entropy")).alias("entropy"),
+    )
+    return rows.groupBy("sentence_id").agg(
+        F.sum("words").alias("words"), F.sum("scored").alias("scored_words"), F.sum("surprisal").alias("sum_surprisal"),
+        F.try_divide(F.sum("entropy"), F.sum("scored")).alias("mean_entropy"),
+    )
+
+
 def score_with(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Plug in any batch scorer (a causal language model, say): Arrow batches in, Arrow batches out."""
 

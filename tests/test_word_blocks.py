@@ -53,7 +53,7 @@ def test_sentences_combine_before_they_move(spark, monkeypatch):
     assert "partial_avg" in shown and "REPARTITION_BY_COL" not in shown
 
 
-@pytest.mark.parametrize("name", ["j15_corpus_sentence_table", "j15_corpus_text_table", "j04_j13_corpus_family_report"])
+@pytest.mark.parametrize("name", ["j15_corpus_sentence_table", "j15_corpus_text_table", "j04_j13_corpus_family_report", "g03_sentence_surprisal"])
 def test_queries_over_dealt_texts_equal_those_over_joined_words(spark, monkeypatch, name):
     from lectern.queries import QUERIES
 
@@ -62,3 +62,13 @@ def test_queries_over_dealt_texts_equal_those_over_joined_words(spark, monkeypat
     monkeypatch.setattr(word_blocks, "SMALL", 0)
     out = QUERIES[name](spark, folder)
     assert "FlatMapCoGroupsInArrow" in plan(out) and rows(out) == want
+
+
+def test_repeated_ids_share_their_sentences(spark, monkeypatch, tmp_path):
+    from lectern.queries import QUERIES
+
+    texts = [(1, "a b. c"), (1, "a b b"), (None, "a b"), (None, "b a")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = rows(QUERIES["g03_sentence_surprisal"](spark, str(tmp_path)))
+    monkeypatch.setattr(word_blocks, "SMALL", 0)
+    assert rows(QUERIES["g03_sentence_surprisal"](spark, str(tmp_path))) == want
