@@ -16,13 +16,20 @@ def contrast(value: str, condition: Column) -> Column:
     return F.avg(F.when(hit, F.col(value))) - F.avg(F.when(~hit, F.col(value)))
 
 
+#: Rows of a unit whose values a task may hold at once.
+HELD = 1_000_000
+
+
 def residual_profiles(
     df: DataFrame, unit: str, residuals: Sequence[str], predictors: Mapping[str, str], *,
     opacity: str = "prev_boundary_opacity_score", vv: str = "vv_indicator", exposures: Mapping[str, str] | None = None,
+    parts: int | None = None, largest: int | None = None,
 ) -> DataFrame:
     """Per unit: mean, median and SD of every residual, its slopes (five pairs at least), its costs, and exposure means.
 
-    One algebraic aggregation plus one long-form pass for the exact medians.
+    Rows of units of at most ``HELD`` rows move once, to their unit (dealt over ``parts`` tasks where
+    given), which takes the exact medians along. For a larger unit, which ``largest`` tells, sums
+    combine before they move and the medians take a long-form pass.
     """
     aggs: list[Column] = []
     for r in residuals:
@@ -30,6 +37,11 @@ def residual_profiles(
         aggs += [slope(F.col(r), F.col(c), 5).alias(f"{r}_{name}_slope") for name, c in predictors.items()]
         aggs += [contrast(r, F.col(opacity) == 3).alias(f"{r}_high_opacity_cost"), contrast(r, F.col(vv) == 1).alias(f"{r}_vv_cost")]
     aggs += [F.avg(F.col(c).cast("double")).alias(name) for name, c in (exposures or {}).items()]
+    if largest is not None and largest <= HELD:
+        used = dict.fromkeys([unit, *residuals, *predictors.values(), opacity, vv, *(exposures or {}).values()])
+        rows = df.select(*used)
+        together = rows.repartition(parts, unit) if parts else rows.repartition(unit)
+        return together.groupBy(unit).agg(*aggs, *[F.percentile(F.col(r).cast("double"), 0.5).alias(f"{r}_median") for r in residuals])
     base = df.groupBy(unit).agg(*aggs)
     long = unpivot_values(df, [unit], residuals, "__r", "__v")
     found = exact_quantiles(long, [unit, "__r"], "__v", {"__m": 0.5})

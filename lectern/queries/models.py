@@ -144,11 +144,12 @@ def residual_profiles(t: Tables):
     from lectern.session import cut_lineage
 
     rows = cut_lineage(complete_rows(t).select("participant_id", "word_id", *dict.fromkeys([*_OUTCOMES.values(), X, *_SLOPES.values(), "vv_indicator"])))
+    largest = rows.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     for name, outcome in _OUTCOMES.items():
         fit = linear.cross_fitted_binary_residuals if outcome == "skip" else linear.cross_fitted_residuals
         rows = fit(rows, "participant_id", outcome, [X], f"crossfit_{name}_residual")
     exposures = {"mean_word_length_exposure": "word_length_chars", "mean_surprisal_exposure": "lm_word_surprisal"}
-    return profiles.residual_profiles(rows, "participant_id", _RESIDUALS, _SLOPES, exposures=exposures)
+    return profiles.residual_profiles(rows, "participant_id", _RESIDUALS, _SLOPES, exposures=exposures, parts=panels.tasks(t), largest=largest)
 
 
 @query(

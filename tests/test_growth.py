@@ -280,3 +280,21 @@ def test_words_move_to_their_sentence_without_partial_sums(spark, monkeypatch):
     out = QUERIES["g03_sentence_surprisal"](spark, folder)
     assert "REPARTITION_BY_COL" in plan(out) and "ShuffledHashJoin" in plan(out)
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_medians_of_bounded_readers_move_rows_once_and_equal_the_long_form(spark):
+    import random
+
+    from lectern.operators import profiles
+
+    draw = random.Random(7)
+    pick = lambda *xs: draw.choice([None, *xs, draw.random()])
+    data = [(draw.choice([None, "a", "b", "c"]), pick(1.0), pick(2.0, 2.0), pick(3.0), draw.choice([0, 1, None])) for _ in range(400)] + [("z", None, None, None, None)]
+    rows = spark.createDataFrame(data, "u string, r double, q double, prev_boundary_opacity_score double, vv_indicator int").repartition(5)
+    args = (rows, "u", ["r", "q"], {"o": "prev_boundary_opacity_score"})
+    flat = lambda df: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(sorted(df.columns)).collect()], key=repr)
+    once = profiles.residual_profiles(*args, parts=3, largest=400)
+    shown = plan(once)
+    assert shown.count("hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in shown
+    long = profiles.residual_profiles(*args, largest=profiles.HELD + 1)
+    assert flat(once.where("u IS NOT NULL")) == flat(long.where("u IS NOT NULL"))
