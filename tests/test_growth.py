@@ -298,3 +298,17 @@ def test_medians_of_bounded_readers_move_rows_once_and_equal_the_long_form(spark
     assert shown.count("hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in shown
     long = profiles.residual_profiles(*args, largest=profiles.HELD + 1)
     assert flat(once.where("u IS NOT NULL")) == flat(long.where("u IS NOT NULL"))
+
+
+def test_deals_are_never_broadcast(spark, monkeypatch, tmp_path):
+    from lectern.operators import fold_fits
+
+    held = []
+    monkeypatch.setattr(fold_fits, "cut_lineage", lambda df: held.append(plan(df)) or df)
+    spark.createDataFrame([(f"u{i}", i % 2, float(i)) for i in range(20)], "u string, label int, x double").write.parquet(f"{tmp_path}/u")
+    data = spark.read.parquet(f"{tmp_path}/u")
+    assigned = data.select("u", (F.col("label") * 0).alias("__fold"), F.lit(2).alias("__k"))
+    deals = data.select("u", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).groupBy("u").agg(F.collect_list("i").alias("positive_in"))
+    out = fold_fits.fold_rows(data, assigned, "u", ["x"], "label", deals=deals)
+    assert out.count() == 20 and len(held) == 1
+    assert not any("collect_list" in part[:400] for part in held[0].split("BroadcastExchange")[1:])
