@@ -312,3 +312,21 @@ def test_deals_are_never_broadcast(spark, monkeypatch, tmp_path):
     out = fold_fits.fold_rows(data, assigned, "u", ["x"], "label", deals=deals)
     assert out.count() == 20 and len(held) == 1
     assert not any("collect_list" in part[:400] for part in held[0].split("BroadcastExchange")[1:])
+
+
+def test_word_ladder_reads_the_panel_once(spark, monkeypatch):
+    from lectern.operators import learning
+    from lectern.queries import QUERIES
+
+    read = []
+
+    def stop(rows, assigned, *_, **__):
+        read.extend([rows.inputFiles(), assigned.inputFiles()])
+        raise StopIteration
+
+    monkeypatch.setattr(learning, "cross_validate", stop)
+    try:
+        QUERIES["m21_word_ladder"](spark, "/root/testdata/sf0.001")
+    except StopIteration:
+        pass
+    assert len(read) == 2 and not any("lineitem" in f for files in read for f in files)
